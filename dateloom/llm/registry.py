@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dateloom.llm.decontamination import contamination_report
 from dateloom.llm.exact_dedup import exact_duplicates
 from dateloom.llm.packing import pack
 from dateloom.llm.sharding import assign_shards
+from dateloom.llm.token_files import token_ids
 
 SHARDS = 8
 
@@ -17,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +44,8 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_token_files,
+        op2_decontamination,
         op5_exact_dedup,
         op8_rendezvous_sharding,
         op10_length_buckets,
@@ -60,11 +74,46 @@ ORACLES: dict[str, str] = {
         chosen AS (
             SELECT doc_id, arg_max(i, score) FILTER (WHERE i < 8) AS shard, arg_max(i, score) AS grown_shard
             FROM scores GROUP BY doc_id
+        ),
+        crc_bytes AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+                       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS step
+        ),
+        crc AS (
+            SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+                       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT)),
+                       lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
+            FROM documents, crc_bytes
         )
-        SELECT d.doc_id, coalesce(strlen(text), 0) + 1 AS size, crc.text_crc32, 'key' AS law,
-               shard::INTEGER AS shard,
+        SELECT d.doc_id, coalesce(strlen(text), 0) + 1 AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
                row_number() OVER (PARTITION BY shard ORDER BY md5(d.doc_id::VARCHAR), d.doc_id) - 1 AS slot,
                grown_shard::INTEGER AS grown_shard
-        FROM documents d JOIN chosen USING (doc_id)
+        FROM documents d JOIN chosen USING (doc_id) JOIN crc USING (doc_id)
+    """,
+    "op2_decontamination": r"""
+        WITH dw AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), bw AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM bw WHERE len(w) > 0)
+        ), grams AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM dw, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+        ), found AS (
+            SELECT doc_id, item_id, i, g.n FROM grams g JOIN windows v ON g.n = v.n AND g.gram = v.gram
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
 }
