@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dateloom.llm.decontamination import contamination_report
 from dateloom.llm.exact_dedup import exact_duplicates
+from dateloom.llm.language_id import identify
+from dateloom.llm.licenses import oracle as licence_oracle
+from dateloom.llm.licenses import scan_licences
 from dateloom.llm.packing import pack
 from dateloom.llm.sharding import assign_shards
+from dateloom.llm.simhash import near_duplicates
 from dateloom.llm.token_files import token_ids
 
 SHARDS = 8
@@ -29,14 +33,26 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -46,8 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_files,
         op2_decontamination,
+        op4_simhash,
         op5_exact_dedup,
+        op7_language_id,
         op8_rendezvous_sharding,
+        op9_license_scan,
         op10_length_buckets,
     )
 }
@@ -90,6 +109,7 @@ ORACLES: dict[str, str] = {
                grown_shard::INTEGER AS grown_shard
         FROM documents d JOIN chosen USING (doc_id) JOIN crc USING (doc_id)
     """,
+    "op9_license_scan": licence_oracle(),
     "op2_decontamination": r"""
         WITH dw AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
