@@ -12,6 +12,7 @@ from dateloom.llm.language_id import identify
 from dateloom.llm.licenses import oracle as licence_oracle
 from dateloom.llm.licenses import scan_licences
 from dateloom.llm.packing import pack
+from dateloom.llm.pii import pseudonymize
 from dateloom.llm.sharding import assign_shards
 from dateloom.llm.simhash import near_duplicates
 from dateloom.llm.token_files import token_ids
@@ -41,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op4_simhash,
         op5_exact_dedup,
+        op6_pii_surrogates,
         op7_language_id,
         op8_rendezvous_sharding,
         op9_license_scan,
