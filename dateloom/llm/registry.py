@@ -15,6 +15,7 @@ from dateloom.llm.packing import pack
 from dateloom.llm.pii import pseudonymize
 from dateloom.llm.sharding import assign_shards
 from dateloom.llm.simhash import near_duplicates
+from dateloom.llm.suffix_tree import score_documents
 from dateloom.llm.token_files import token_ids
 
 SHARDS = 8
@@ -34,6 +35,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_files,
         op2_decontamination,
+        op3_suffix_tree,
         op4_simhash,
         op5_exact_dedup,
         op6_pii_surrogates,
