@@ -7,10 +7,10 @@ and document ids to ``<name>.doc`` (both 64 bits). File names are new for each
 attempt; the manifest lists those of the attempts that succeeded, with the base
 of each file from prefix sums over the token counts. Readers map the files.
 
-Encoding goes through a per-process cache of space-separated pieces. Pre-tokens of
-a byte-level vocabulary never reach past a white-space character that follows a
-visible one, so a piece encodes alike wherever it stands; texts where a space
-follows white space are encoded whole.
+Encoding goes through a per-process cache of pieces: a word with the space before
+it, a mark that ends it, or a line feed. Pre-tokens of a byte-level vocabulary never
+reach past a lone white-space character, nor from a letter to a mark, so a piece
+encodes alike wherever it stands; texts with runs of white space are encoded whole.
 
 Edge cases: a null or empty text has the end id alone; a null id comes first and
 is stored as the smallest 64-bit integer; ids may repeat; an empty table gives an
@@ -24,6 +24,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -38,10 +39,23 @@ from dateloom.llm.common import scratch_path, text_or_empty
 from dateloom.llm.files import open_fs, read_array, write_bytes
 
 #: Pieces that a process keeps encoded.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
+WORDS_A_TEXT = 64
 NO_ID = -(2**63)
 MANIFEST = "part long, name string, docs long, tokens long, base long"
-_SPACED = re.compile(r"\s ")
+#: White space other than the plain space and the line feed; a full stop or comma after something other than a letter or digit.
+_OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ODD_MARK = re.compile(r"[.,](?<=[\W_][.,])")
+
+
+def pieces_of(text: str) -> list[str] | None:
+    """A text cut where no pre-token reaches across; None if white space stands in runs, which takes the whole text to read."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or any(c in text for c in _OTHER_BLANKS):
+        return None
+    cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0") + "\0"
+    if not _ODD_MARK.search(text):
+        cut = cut.replace(".\0", "\0.\0").replace(",\0", "\0,\0")
+    return cut.split("\0")
 
 
 class PieceEncoder:
@@ -53,31 +67,47 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.pieces: dict[str, bytes] = {}
+        wide = self.tokenizer.get_vocab_size() > 2**16
+        self.dtype, self.code = ("<u4", "I") if wide else ("<u2", "H")
+        self.feed = self.encode(["\n"])[0]
+        self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(x.ids, dtype=self.dtype).tobytes()
-            for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        code = self.code
+        return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``encode`` for words without inner white space: texts of lines, whose line feeds are tokens of their own."""
+        width, found = len(self.feed), []
+        feed = np.frombuffer(self.feed, self.dtype)[0]
+        groups = [words[i : i + WORDS_A_TEXT] for i in range(0, len(words), WORDS_A_TEXT)]
+        texts = self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
+        for group, text in zip(groups, texts, strict=True):
+            ids = np.array(text.ids, self.dtype)
+            raw = ids.tobytes()
+            ends = [*(np.flatnonzero(ids == feed) * width).tolist(), len(raw)]
+            starts = [0, *(e + width for e in ends[:-1])]
+            found += [raw[a:b] for a, b in zip(starts, ends, strict=True)] if len(ends) == len(group) else self.encode(group)
+        return found
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are new."""
+        if len(self.known) > CACHED_PIECES:
+            self.known = {"": b""}
+        missing = pieces - self.known.keys()
+        words = [x for x in missing if x[1:].isalpha() and x[0].isprintable()]
+        one_feed = len(self.feed) == np.dtype(self.dtype).itemsize
+        self.known.update(zip(words, self.encode_words(words) if one_feed else self.encode(words), strict=True))
+        others = list(missing.difference(words))
+        self.known.update(zip(others, self.encode(others), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        split = [None if _SPACED.search(t) else t.split(" ") for t in texts]
-        needed = {f" {x}" for x in set(chain.from_iterable(s[1:] for s in split if s))}
-        needed.update(s[0] for s in split if s)
-        if len(self.pieces) + len(needed) > CACHED_PIECES:
-            self.pieces.clear()
-        known = self.pieces
-        missing = [x for x in needed if x not in known]
-        known.update(zip(missing, self.encode(missing), strict=True))
-        spaced = {x: known[f" {x}"] for x in set(chain.from_iterable(s[1:] for s in split if s))}
+        split = [pieces_of(t) for t in texts]
+        self.learn(set(chain.from_iterable(s for s in split if s)))
         whole = iter(self.encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [
-            next(whole) if s is None else known[s[0]] + b"".join(map(spaced.__getitem__, s[1:]))
-            for s in split
-        ]
+        of = self.known.__getitem__
+        return [next(whole) if s is None else b"".join(map(of, s)) for s in split]
 
 
 @cache
