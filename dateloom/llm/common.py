@@ -48,10 +48,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Call it only when no DataFrame still reads them."""
-    while _scratch:
-        delete_path(spark, _scratch.pop())
+def scratch_mark() -> int:
+    """How many scratch tables there are now, for ``release``."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int = 0, keep: list[str] | None = None) -> None:
+    """Delete the scratch tables made since ``scratch_mark``, but for ``keep``. Call it when no DataFrame still reads them."""
+    kept = [p for p in _scratch[since:] if p in (keep or [])]
+    for path in _scratch[since:]:
+        if path not in kept:
+            delete_path(spark, path)
+    _scratch[since:] = kept
 
 
 def ascii_lower(text: Column) -> Column:
