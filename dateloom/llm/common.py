@@ -7,6 +7,7 @@ executors share; a folder of our own is set only where a session has none
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,12 @@ def release(spark: SparkSession, since: int = 0, keep: list[str] | None = None)
     _scratch[since:] = kept
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more, before the next large one."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone, so that every engine agrees on the result."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,8 +3,9 @@
 Units are the lines of a text, its paragraphs (between blank lines) and the whole.
 Unit and template are lower-cased, ASCII marks become spaces, and each is the set
 of its pairs of neighbouring words. Dice >= ``least`` needs the sizes to be within a
-factor of (2 - least) / least, which prunes templates before any set is built; pairs
-that no template holds are dropped before sets are compared. Everything is column
+factor of (2 - least) / least, which prunes templates before sets are compared, and a
+unit that could reach it for a template must hold one of some words of the template,
+so texts without any of those are passed by. Everything is column
 arithmetic on the row, so nothing is shuffled and no group can grow hot.
 
 Edge cases: null, empty and one-word texts have no licence; among equal scores the
@@ -117,14 +118,29 @@ def size_bounds(size: int, least: float) -> tuple[int, int]:
     return max(1, math.ceil(size / ratio - 1e-9)), math.floor(size * ratio + 1e-9)
 
 
+def anchor_words(pairs: Sequence[str], least: float) -> list[str]:
+    """Words of which a unit must hold one to reach Dice ``least``: the longest whose pairs outnumber those it may miss."""
+    low, _ = size_bounds(len(pairs), least)
+    may_miss = len(pairs) - math.ceil(least * (len(pairs) + low) / 2 - 1e-9)
+    words = sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (-len(w), w))
+    covered: set[str] = set()
+    for n, word in enumerate(words):
+        covered.update(p for p in pairs if word in p.split(" "))
+        if len(covered) > may_miss:
+            return words[: n + 1]
+    return words
+
+
+def folded(text: Column) -> Column:
+    """Lower case, marks as single spaces, lines kept."""
+    return F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), MARKS, " ")
+
+
 def units_of(text: Column) -> Column:
-    """Lines, paragraphs and the whole of a text, normalised, each word between single spaces, without repeats."""
-    folded = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), MARKS, " ")
-    lines = F.split(folded, r"\n")
-    parts = F.transform(F.split(folded, r"\n[ \n]*\n"), lambda p: F.translate(p, "\n", " "))
-    whole = F.array(F.translate(folded, "\n", " "))
-    tidy = F.transform(F.concat(lines, parts, whole), lambda u: F.trim(F.regexp_replace(u, " +", " ")))
-    return F.array_distinct(tidy)
+    """Lines, paragraphs and the whole of a folded text, each word between single spaces, without repeats."""
+    parts = F.transform(F.split(text, r"\n[ \n]*\n"), lambda p: F.translate(p, "\n", " "))
+    every = F.concat(F.split(text, r"\n"), parts, F.array(F.translate(text, "\n", " ")))
+    return F.array_distinct(F.transform(every, lambda u: F.trim(F.regexp_replace(u, " +", " "))))
 
 
 def word_pairs(unit: Column, least_words: int) -> Column:
@@ -148,7 +164,7 @@ def better_first(a: Column, b: Column) -> Column:
 
 
 def matching_units(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> Column:
-    """array<struct(dice, licence)>: for each unit that matches any template, the best one."""
+    """array<struct(dice, licence)> of a folded text: for each unit that matches any template, the best one."""
     known = [(name, template_pairs(body)) for name, body in templates]
     bounds = [size_bounds(len(p), least) for _, p in known]
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
@@ -171,12 +187,16 @@ def matching_units(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATE
         return F.get(F.array_sort(F.filter(F.array(*scores), lambda s: s["dice"] >= least), better_first), 0)
 
     near = F.filter(sized, lambda u: F.size(u["common"]) >= need)
-    return F.filter(F.transform(near, best), lambda s: s.isNotNull())
+    anchors = "|".join(sorted({w for _, pairs in known for w in anchor_words(pairs, least)}))
+    return F.when(
+        text.rlike(rf"(?:^|[ \n])(?:{anchors})(?:[ \n]|$)"), F.filter(F.transform(near, best), lambda s: s.isNotNull())
+    ).otherwise(F.array().cast("array<struct<dice:double,licence:string>>"))
 
 
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: its best licence, that licence's score and the number of matching units."""
-    found = docs.select(doc_id, matching_units(text_or_empty(text), least=least).alias("found"))
+    ready = docs.select(doc_id, folded(text_or_empty(text)).alias("folded"))
+    found = ready.select(doc_id, matching_units(F.col("folded"), least=least).alias("found"))
     ranked = found.select(doc_id, F.array_sort("found", better_first).alias("found"))
     return ranked.select(
         doc_id,

@@ -2,8 +2,9 @@
 
 Symbols are the words of a text and one end mark; all words never seen in learning
 are one more symbol. The root has the words' frequencies, with the share of words
-seen once kept for the unknown one (Good-Turing). A state is a context of one or two
-words that learning saw at least twice. It is kept if its next-word distribution
+seen once kept for the unknown one (Good-Turing). A state is a context of one word
+that learning saw at least twice, or of two that it saw together at least twice and
+``SURPRISE`` times as often as chance would have it. It is kept if its next-word distribution
 diverges from its parent's: leaving each occurrence out in turn, the occurrences must
 be likelier after the state than after its parent. Distributions are smoothed by
 absolute discounting towards the parent's, so each sums to one. A word is scored
@@ -39,13 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import scratch_path, text_or_empty
+from dateloom.llm.common import drop_finished_shuffles, scratch_path, text_or_empty
 from dateloom.llm.files import open_fs
 
 #: Least learning occurrences of a context; discount from each seen next word; least gain of a kept state in nats.
 LEAST_COUNT, DISCOUNT, LEAST_GAIN = 2, 0.75, 2.0
 #: Words after which a task starts a new chunk, and keys that one task of an exchange adds up.
-CHUNK_WORDS, KEYS_A_PART = 4_000_000, 2_000_000
+CHUNK_WORDS, KEYS_A_PART = 1_500_000, 2_000_000
+#: How much commoner than by chance two words must be to be a context; bits of a pair's or triple's key.
+SURPRISE, KEY_BITS = 4.0, 56
 NO_ID = -(2**63)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
@@ -58,11 +61,22 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of two hashes in order, the low bits zero so that packs stay small."""
     x = a * MIX_A + b
     x ^= x >> np.uint64(32)
     x *= MIX_B
-    x ^= x >> np.uint64(29)
-    return x
+    return x >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and the number of the key at every place."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], number
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -149,6 +163,11 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
     return sorted((r["name"], r["words"]) for r in docs.mapInArrow(write, "name string, words long").collect())
 
 
+#: Type and columns of what a channel sends, and of its answers; answers on pairs and triples add whether the chunk is the first to hold the key.
+SENT = {"w": ("<f8", 1), "p": ("<f8", 1), "t": ("<f8", 1), "c": ("<f4", 3), "d": ("<f4", 3)}
+ANSWERS = SENT | {"p": ("<f8", 2), "t": ("<f8", 2)}
+
+
 @dataclass
 class Model:
     """What holds for the whole corpus: learning words, how many are distinct, how many occur once."""
@@ -174,8 +193,14 @@ class Chunk:
         ends = np.cumsum(self.lengths)
         self.place = np.arange(len(self.tokens)) - np.repeat(ends - self.lengths, self.lengths)
 
-    def answer(self, key: str, columns: int = 1) -> np.ndarray:
-        return load(self.folder, self.name, key, "<f8", columns)
+    def answer(self, channel: str) -> np.ndarray:
+        dtype, columns = ANSWERS[channel]
+        return load(self.folder, self.name, channel, dtype, columns)
+
+    def context_words(self) -> np.ndarray:
+        """Numbers of the words that can be a context, in order of their hashes."""
+        order = np.argsort(self.hashes)
+        return order[self.words[order] >= LEAST_COUNT]
 
     @cached_property
     def words(self) -> np.ndarray:
@@ -189,12 +214,12 @@ class Chunk:
         """Positions after a context of one word; sorted distinct keys, first place among the positions, and number of each."""
         at = np.flatnonzero(self.place >= 1)
         at = at[self.words[self.tokens[at - 1]] >= LEAST_COUNT]
-        return at, *np.unique(mix(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]]), return_index=True, return_inverse=True)
+        return at, *distinct(mix(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]]))
 
     @cached_property
     def pair_counts(self) -> np.ndarray:
         """(count, first chunk to hold it?) of each distinct pair."""
-        return self.answer("p", 2)
+        return self.answer("p")
 
     @cached_property
     def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,17 +229,18 @@ class Chunk:
         pair_at[at] = number
         here = np.flatnonzero(self.place >= 2)
         context = pair_at[here - 1]
-        known = context >= 0
-        known[known] = self.pair_counts[context[known], 0] >= LEAST_COUNT
-        here, context = here[known], context[known]
-        found = np.unique(mix(keys[context], self.hashes[self.tokens[here]]), return_index=True, return_inverse=True)
-        return here, *found, context
+        here, context = here[context >= 0], context[context >= 0]
+        together = self.pair_counts[context, 0]
+        chance = self.words[self.tokens[here - 2]] * self.words[self.tokens[here - 1]] / max(self.model.tokens, 1)
+        grown = (together >= LEAST_COUNT) & (together >= SURPRISE * chance)
+        here, context = here[grown], context[grown]
+        return here, *distinct(mix(keys[context], self.hashes[self.tokens[here]])), context
 
     @cached_property
     def one_word(self) -> tuple[np.ndarray, np.ndarray]:
         """(next words seen, kept?) of each word as a context."""
         sums = np.zeros((len(self.hashes), 3))
-        sums[np.argsort(self.hashes)] = self.answer("c", 3)
+        sums[self.context_words()] = self.answer("c")
         return sums[:, 0], kept(self.words, sums)
 
     def after_one(self, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -233,10 +259,10 @@ class Chunk:
         p[at] = after_one
         here, _, _, triple, context = self.triples
         if len(here):
-            sums = self.answer("d", 3)[np.searchsorted(np.unique(context), context)]
+            sums = self.answer("d").astype(float)[np.searchsorted(np.unique(context), context)]
             n = self.pair_counts[context, 0]
             keep = kept(n, sums)
-            longer = (np.maximum(self.answer("t", 2)[triple, 0] - DISCOUNT, 0) + DISCOUNT * sums[:, 0] * p[here]) / n
+            longer = (np.maximum(self.answer("t")[triple, 0] - DISCOUNT, 0) + DISCOUNT * sums[:, 0] * p[here]) / n
             p[here[keep]] = longer[keep]
         edge = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         total = lambda x: np.add.reduceat(x, edge) if len(edge) else np.empty(0)
@@ -279,15 +305,15 @@ def ask_contexts_and_triples(chunk: Chunk) -> Iterator[Request]:
     where = at[first[own]]
     adds = evidence(chunk.pair_counts[own, 0], chunk.model.root(chunk.words[chunk.tokens[where]]))
     np.add.at(sums, chunk.tokens[where - 1], adds)
-    order = np.argsort(chunk.hashes)
-    yield "c", chunk.hashes[order], sums[order]
+    contexts = chunk.context_words()
+    yield "c", chunk.hashes[contexts], sums[contexts].astype("<f4")
     here, keys, _, number, _ = chunk.triples
     yield "t", keys, np.bincount(number[chunk.use[here]], minlength=len(keys)).astype(float)
 
 
 def ask_longer_contexts(chunk: Chunk) -> Iterator[Request]:
     here, _, first, _, context = chunk.triples
-    counts = chunk.answer("t", 2)
+    counts = chunk.answer("t")
     contexts = np.unique(context)
     own = (counts[:, 1] > 0) & (counts[:, 0] > 0)
     where, of = here[first[own]], context[first[own]]
@@ -296,11 +322,8 @@ def ask_longer_contexts(chunk: Chunk) -> Iterator[Request]:
     parent = chunk.after_one(chunk.tokens[where - 1], chunk.tokens[where], chunk.pair_counts[pair, 0])
     sums = np.zeros((len(contexts), 3))
     np.add.at(sums, np.searchsorted(contexts, of), evidence(counts[own, 0], parent))
-    yield "d", chunk.pairs[1][contexts], sums
-
+    yield "d", chunk.pairs[1][contexts], sums.astype("<f4")
 
-#: Channels whose answers also say which chunk is the first to hold a key.
-FIRST = {"p", "t"}
 
 
 def exchange(
@@ -338,15 +361,16 @@ def exchange(
     def add_up(group: list[dict]) -> Iterator[dict]:
         channel = group[0]["channel"]
         keys = [np.cumsum(unpack(r["keys"], "<u8"), dtype=np.uint64) for r in group]
-        columns = 3 if channel in "cd" else 1
-        values = [unpack(r["vals"], "<f8", columns).reshape(len(k), columns) for r, k in zip(group, keys, strict=True)]
+        dtype, columns = SENT[channel]
+        values = [unpack(r["vals"], dtype, columns).reshape(len(k), columns).astype(float) for r, k in zip(group, keys, strict=True)]
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         start = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
         sums = np.add.reduceat(np.concatenate(values)[order], start, axis=0)
-        out = np.empty((len(every), columns + (channel in FIRST)))
+        dtype, wide = ANSWERS[channel]
+        out = np.empty((len(every), wide), dtype)
         out[order, :columns] = np.repeat(sums, np.diff(np.concatenate([start, [len(every)]])), axis=0)
-        if channel in FIRST:
+        if wide > columns:
             out[:, -1] = 0
             out[order[start], -1] = 1
         at = 0
@@ -374,8 +398,7 @@ def exchange(
 
         def close() -> None:
             if held:
-                columns = {"w": 1, "p": 2, "t": 2}.get(now[1], 3)
-                save(folder, now[0], **{now[1]: np.concatenate([unpack(v, "<f8", columns) for v in held])})
+                save(folder, now[0], **{now[1]: np.concatenate([unpack(v, *ANSWERS[now[1]]) for v in held])})
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -406,6 +429,8 @@ def exchange(
         .mapInArrow(keep, "channel string, total double, distinct double, once double")
     )
     found = saved.groupBy("channel").agg(F.sum("total"), F.sum("distinct"), F.sum("once")).collect()
+    del sent, summed, saved, table
+    drop_finished_shuffles(spark)
     return {r[0]: (r[1], r[2], r[3]) for r in found}
 
 
