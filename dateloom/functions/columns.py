@@ -69,7 +69,7 @@ def csv_cell(value: Column) -> Column:
 def export_name(filename: Column, run_id: Column, extension: str) -> Column:
     """A safe file name for an export of one run."""
     base = F.element_at(F.split(filename, "/"), -1)
-    stem = F.when(base.rlike(r"^\.*[^.]+.*\.[^.]+$") & ~base.rlike(r"^\.[^.]*$"), F.regexp_replace(base, r"\.[^.]+$", "")).otherwise(base)
+    stem = F.when(base.rlike(r"(?s)^.+\.[^.]+$"), F.regexp_replace(base, r"\.[^.]+$", "")).otherwise(base)
     safe = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
     return F.concat(F.coalesce(blank_to_null(safe), F.lit("document")), F.lit("-run-"), run_id.cast("string"), F.lit(f".{extension}"))
 
