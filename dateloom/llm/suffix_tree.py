@@ -40,15 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import drop_finished_shuffles, scratch_path, text_or_empty
+from dateloom.llm.common import bound_batches, drop_finished_shuffles, scratch_path, text_or_empty
 from dateloom.llm.files import open_fs
 
 #: Least learning occurrences of a context; discount from each seen next word; least gain of a kept state in nats.
 LEAST_COUNT, DISCOUNT, LEAST_GAIN = 2, 0.75, 2.0
 #: Words after which a task starts a new chunk, and keys that one task of an exchange adds up.
 CHUNK_WORDS, KEYS_A_PART = 1_500_000, 2_000_000
-#: How much commoner than by chance two words must be to be a context; bits of a pair's or triple's key.
-SURPRISE, KEY_BITS = 4.0, 56
+#: How much commoner than by chance two words must be to be a context; bits of a pair's or triple's key beyond those
+#: that number all words, so that one key in a million shares its sums with another, whatever the corpus.
+SURPRISE, SPARE_BITS = 4.0, 20
 NO_ID = -(2**63)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
@@ -60,12 +61,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of two hashes in order, the low bits zero so that packs stay small."""
+def mix(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of two hashes in order, but for the first ``bits`` bits zero so that packs stay small."""
     x = a * MIX_A + b
     x ^= x >> np.uint64(32)
     x *= MIX_B
-    return x >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS)
+    return x >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,11 +171,12 @@ ANSWERS = SENT | {"p": ("<f8", 2), "t": ("<f8", 2)}
 
 @dataclass
 class Model:
-    """What holds for the whole corpus: learning words, how many are distinct, how many occur once."""
+    """What holds for the whole corpus: learning words, how many are distinct, how many occur once; bits of a key."""
 
     tokens: float = 0
     distinct: float = 0
     once: float = 0
+    bits: int = 64
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """The root's probability of words with these counts; 0 stands for the unknown word."""
@@ -214,7 +216,7 @@ class Chunk:
         """Positions after a context of one word; sorted distinct keys, first place among the positions, and number of each."""
         at = np.flatnonzero(self.place >= 1)
         at = at[self.words[self.tokens[at - 1]] >= LEAST_COUNT]
-        return at, *distinct(mix(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]]))
+        return at, *distinct(mix(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]], self.model.bits))
 
     @cached_property
     def pair_counts(self) -> np.ndarray:
@@ -234,7 +236,7 @@ class Chunk:
         chance = self.words[self.tokens[here - 2]] * self.words[self.tokens[here - 1]] / max(self.model.tokens, 1)
         grown = (together >= LEAST_COUNT) & (together >= SURPRISE * chance)
         here, context = here[grown], context[grown]
-        return here, *distinct(mix(keys[context], self.hashes[self.tokens[here]])), context
+        return here, *distinct(mix(keys[context], self.hashes[self.tokens[here]], self.model.bits)), context
 
     @cached_property
     def one_word(self) -> tuple[np.ndarray, np.ndarray]:
@@ -436,6 +438,7 @@ def exchange(
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its words, how many are known, the base score and the model's."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffix-tree")
     ready = docs.select(
@@ -445,8 +448,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chunks = write_chunks(ready, folder)
     if not chunks:
         return spark.createDataFrame([], schema)
-    model = Model()
-    model = Model(*exchange(spark, folder, chunks, model, ask_words)["w"])
+    bits = min(64, int(np.ceil(np.log2(sum(n for _, n in chunks) + 1))) + SPARE_BITS)
+    model = Model(*exchange(spark, folder, chunks, Model(), ask_words)["w"], bits)
     for ask in (ask_pairs, ask_contexts_and_triples, ask_longer_contexts):
         exchange(spark, folder, chunks, model, ask)
 
