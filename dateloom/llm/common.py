@@ -63,6 +63,13 @@ def release(spark: SparkSession, since: int = 0, keep: list[str] | None = None)
     _scratch[since:] = kept
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Keep the batches of text that go to Python at ``most`` bytes or less, however long the texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set(name, str(most))
+
+
 def drop_finished_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that nothing refers to any more, before the next large one."""
     gc.collect()

@@ -27,6 +27,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dateloom.llm.common import bound_batches
+
 WIDTH = 10
 BLOCK_BYTES = 64 << 20
 #: Letters and digits stay (A-Z in lower case), bytes from 0x80 stay, everything else is a space.
@@ -162,6 +164,7 @@ def find_contamination(
     out: str = "found",
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, hits (word runs), items (sorted ids), contaminated."""
+    bound_batches(docs.sparkSession)
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     names = [f"_{out}_{i}" for i in range(len(blocks))]
     marked = docs

@@ -14,7 +14,7 @@ language reach the driver, at most languages x ``FEATURES`` of them.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; labels that
 are null or blank teach nothing; with no labelled text at all every text is
-``und``; with one language every text with a letter is that one; extra columns
+``und``, but none with a letter is ambiguous; with one language every text with a letter is that one; extra columns
 pass through ``predict`` untouched.
 """
 
@@ -26,10 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PER_LANGUAGE = 1_500
+from dateloom.llm.common import bound_batches
+
+SAMPLE_PER_LANGUAGE, SAMPLE_CELLS = 1_500, 4_096
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
 ORDERS = (1, 2, 3, 4)
@@ -60,6 +62,8 @@ def features(text: str) -> np.ndarray:
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
     """One row of +1 / -1 per language: all splits up to 7 languages, else the best of seeded dense codes."""
+    if languages < 2:
+        return np.zeros((languages, 0), np.int8)
     if languages <= 7:
         columns = [
             [1 if i in chosen or i == 0 else -1 for i in range(languages)]
@@ -102,8 +106,10 @@ class LanguageCode:
         return cls(languages, code, odds, (weights / weights.sum() * bits if bits else weights).astype(np.float64))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not any(map(str.isalpha, text)):
+        if not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
+        if not self.languages:
+            return UNKNOWN, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
         margins = TEMPER * self.odds[features(text)].sum(axis=0, dtype=np.float64)
@@ -119,6 +125,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def by_language(values: dict[str, int]) -> Column:
+    """The value of the row's language."""
+    return F.try_element_at(F.create_map(*(x for k, n in values.items() for x in (F.lit(k), F.lit(n).cast("long")))), F.col("lang"))
+
+
+def sample_limits(rows: DataFrame, per_language: int) -> dict[str, int]:
+    """For each language the hash up to which at most ``per_language`` rows lie (all of them where there are no more).
+
+    The hashes of a language are cut at about eight times the rows asked for and
+    counted in ``SAMPLE_CELLS`` cells, so no language's rows ever meet in one task.
+    """
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return {}
+    ends = {x: 2**62 if n <= per_language else int(min(1.0, 8 * per_language / n) * 2**62) for x, n in sizes.items()}
+    end = by_language(ends)
+    cell = F.floor(F.col("order") / (end / SAMPLE_CELLS))
+    cells = rows.where(F.col("order") <= end).groupBy("lang", cell.alias("cell")).count().collect()
+    limits = {}
+    for x, n in sizes.items():
+        held, limit = 0, 0
+        for at, count in sorted((r["cell"], r["count"]) for r in cells if r["lang"] == x):
+            held += count
+            if held > per_language and limit:
+                break
+            limit = min(ends[x], int((at + 1) * (ends[x] / SAMPLE_CELLS)) - 1) if at + 1 < SAMPLE_CELLS else ends[x]
+        limits[x] = ends[x] if n <= per_language else limit
+    return limits
+
+
 def train(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -127,20 +163,16 @@ def train(
     per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> LanguageCode:
     """Fit the classifiers on a bounded, hash-ordered sample of the labelled rows that are not held out."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"),
-        F.xxhash64(F.col(doc_id).cast("string")).alias("order"),
+        F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("string")), 2).alias("order"),
     ).where(~held_out(F.col("id")) & (F.trim("lang") != "") & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    last = (
-        rows.select("lang", "order").withColumn("rank", rank).where(F.col("rank") <= per_language)
-        .groupBy("lang").agg(F.max("order").alias("last")).collect()
-    )
+    last = sample_limits(rows, per_language)
     if not last:
         return LanguageCode.train([], np.zeros((0, FEATURES)))
-    languages = sorted(r["lang"] for r in last)
-    limits = F.create_map(*(x for r in last for x in (F.lit(r["lang"]), F.lit(r["last"]))))
-    sample = rows.where(F.col("order") <= F.try_element_at(limits, F.col("lang"))).select("lang", "text")
+    languages = sorted(last)
+    sample = rows.where(F.col("order") <= by_language(last)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -165,6 +197,7 @@ def train(
 
 def predict(docs: DataFrame, model: LanguageCode, text: str = "text", out: str = "predicted") -> DataFrame:
     """``docs`` with a struct column ``out``: lang, score, ambiguous."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(PREDICTION)

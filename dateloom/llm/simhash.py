@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import materialize
+from dateloom.llm.common import bound_batches, materialize
 from dateloom.llm.components import components
 from dateloom.llm.golay import nearby, nearest
 
@@ -208,6 +208,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its fingerprint (16 hex digits) and the smallest id that links reach from it."""
+    bound_batches(docs.sparkSession)
     marked = materialize(
         docs.select(F.col(doc_id).alias("id"), fingerprint(F.col(text)).alias("print")), "fingerprints"
     )

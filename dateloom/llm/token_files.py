@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import scratch_path, text_or_empty
+from dateloom.llm.common import bound_batches, scratch_path, text_or_empty
 from dateloom.llm.files import open_fs, read_array, write_bytes
 
 #: Pieces that a process keeps encoded.
@@ -211,6 +211,7 @@ def read_token_files(docs: DataFrame, folder: str, manifest: list[tuple], dtype:
 
 def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Write the token files of ``docs`` and read them back as one row per document."""
+    bound_batches(docs.sparkSession)
     folder = folder or scratch_path(docs.sparkSession, "tokens")
     manifest = write_token_files(docs, tokenizer_file, folder, end_id)
     return read_token_files(docs, folder, manifest, encoder(tokenizer_file).dtype)
