@@ -84,6 +84,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_length_buckets": r"""
+        WITH RECURSIVE lengths AS (
+            SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens FROM documents
+        ), binned AS (
+            SELECT *, (ceil(n_tokens / width) * width)::BIGINT AS bin
+            FROM (SELECT *, 8 * 2 ** greatest(0, ceil(log2(n_tokens / 32768))) AS width FROM lengths)
+        ), counted AS (
+            SELECT bin, row_number() OVER (ORDER BY bin) - 1 AS j, sum(c) OVER (ORDER BY bin)::BIGINT AS total
+            FROM (SELECT bin, count(*) AS c FROM binned GROUP BY bin)
+        ), best(k, j, cost, edges) AS (
+            SELECT 0, j, bin * total, [bin] FROM counted
+            UNION ALL
+            SELECT any_value(k) + 1, c.j, min(b.cost + c.bin * (c.total - p.total)),
+                   list_append(arg_min(b.edges, (b.cost + c.bin * (c.total - p.total))::HUGEINT * 1048576 + b.j), any_value(c.bin))
+            FROM best b JOIN counted p ON p.j = b.j JOIN counted c ON c.j > b.j
+            WHERE k < 11 GROUP BY c.j
+        ), chosen AS (
+            SELECT edges FROM best WHERE j = (SELECT max(j) FROM counted) ORDER BY k DESC LIMIT 1
+        ), bucketed AS (
+            SELECT doc_id, n_tokens, len(list_filter(edges[1:len(edges) - 1], lambda e: e < n_tokens))::INTEGER AS bucket, edges
+            FROM lengths, chosen
+        ), placed AS (
+            SELECT *, edges[bucket + 1] AS bucket_len, greatest(1, 65536 // edges[bucket + 1]) AS held,
+                   row_number() OVER (PARTITION BY bucket ORDER BY md5(doc_id::VARCHAR), doc_id, n_tokens) - 1 AS slot
+            FROM bucketed
+        )
+        SELECT doc_id, n_tokens, bucket, bucket_len, slot // held AS batch, slot % held AS place, bucket_len - n_tokens AS padding FROM placed
+    """,
     "op5_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
