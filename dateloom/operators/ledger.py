@@ -13,6 +13,7 @@ from dateloom.functions.columns import blank_to_null, value_of
 from dateloom.functions.vocabulary import FAMILY_OF, TYPES
 
 # Run states, review actions with the state they lead to, and admission errors in the order they are tested.
+ROWS_A_CELL = 50_000
 RUN_STATES = ["queued", "reading", "classifying", "validating", "done", "failed"]
 STATUS_OF = {"accept": "accepted", "correct": "corrected", "reject": "rejected", "reopen": "needs_review"}
 ADMISSION = (
@@ -46,13 +47,21 @@ def latest_run(runs: DataFrame, done_only: bool = False) -> DataFrame:
     return best.select("document_id", "id", *(F.col(f"_r.{c}").alias(c) for c in other))
 
 
+def numbered(ids: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a distinct integer key: sorted by stretches of it, with bases from their counts."""
+    cut = ids.withColumn("_cell", F.floor(F.col(key) / ROWS_A_CELL))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy(key))
+    return cut.withColumn("_place", place).join(bases, "_cell").withColumn(out, F.col("_base") + F.col("_place")).drop("_cell", "_base", "_place")
+
+
 def create_runs(documents: DataFrame, runs: DataFrame, pipeline_version: str) -> DataFrame:
     """A new queued run for each row of ``documents``, numbered after the last run in the order of document ids."""
-    last = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    number = F.row_number().over(Window.orderBy("id"))
-    few = documents.select("id").distinct().withColumn("_n", number)
-    return few.join(F.broadcast(last)).select(
-        (F.col("_last") + F.col("_n")).cast("long").alias("id"), F.col("id").alias("document_id"),
+    last = runs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(documents.select("id").distinct(), "id", "_n")
+    return new.select(
+        (F.lit(last) + F.col("_n")).cast("long").alias("id"), F.col("id").alias("document_id"),
         F.lit(pipeline_version).alias("pipeline_version"), F.lit("queued").alias("status"),
     )
 

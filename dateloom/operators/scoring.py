@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 import pyarrow as pa
@@ -128,6 +129,19 @@ def gates(outcomes: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return found.withColumn("passed", (F.col("hallucinations") + F.col("silent_resolutions")) == 0)
 
 
+def report(outcomes: DataFrame) -> DataFrame:
+    """The whole evaluation as one JSON text: scores by type, detection, and the gates by document."""
+    rate = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    parts = {
+        "types": scores(counted(outcomes)).agg(F.to_json(F.array_sort(F.collect_list(F.struct("date_type", *rate)))).alias("json")),
+        "detection": detection(outcomes).select(F.to_json(F.struct(*rate)).alias("json")),
+        "gates": gates(outcomes).where("document_id IS NULL").select(F.to_json(F.struct("hallucinations", "silent_resolutions", "passed")).alias("json")),
+    }
+    tagged = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("part"), "json") for name, df in parts.items()))
+    body = F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), F.max(F.when(F.col("part") == n, F.col("json")))) for n in parts))
+    return tagged.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
+
+
 def report_table(rows: list[dict], columns: list[str]) -> str:
     """Rows as text in columns of fixed width."""
     cells = [columns, *([str(r[c]) for c in columns] for r in rows)]

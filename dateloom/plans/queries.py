@@ -978,6 +978,14 @@ def e_gates(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.gates(outcomes(spark, sf))
 
 
+@query(f"""WITH {KIND} SELECT 3 AS types, count(*) FILTER (k = 5) AS hallucinations, count(*) FILTER (k = 4) AS silent_resolutions, count(*) FILTER (k NOT IN (2, 3, 5)) AS found FROM k""")
+def e_report(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: the report as JSON, read back."""
+    kind = "struct<types:array<struct<date_type:string>>,detection:struct<tp:bigint>,gates:struct<hallucinations:bigint,silent_resolutions:bigint>>"
+    x = scoring.report(outcomes(spark, sf)).select(F.from_json("json", kind).alias("x"))
+    return x.select(F.size("x.types").alias("types"), "x.gates.hallucinations", "x.gates.silent_resolutions", F.col("x.detection.tp").alias("found"))
+
+
 @query("SELECT 0::BIGINT AS bad")
 def e_check_gold(spark: SparkSession, sf: str) -> DataFrame:
     """Gold items give a value or two readings, never both."""

@@ -192,3 +192,21 @@ def test_layout_json_is_read(spark):
     page = {"n": 1, "width": 9, "height": 9, "text": "a", "text_source": "pdf", "words": [{"text": "a", "bbox": {"x0": 0, "y0": 0, "x1": 1, "y1": 1}, "char_start": 0, "char_end": 1, "confidence": None}], "transcription": None}
     df = spark.createDataFrame([(1, json.dumps([page]))], "document_id long, layouts_json string")
     assert pages_from_json(df).select("words.x1").first()[0] == [1.0]
+
+
+def test_render_adapter_reports_pages_and_failures(spark):
+    from dateloom.sources.render import render_pages
+
+    def adapter(content):
+        if content == b"locked":
+            raise ValueError("password")
+        yield {"n": 1, "width": 2, "height": 3, "image": content, "text": "t"}
+
+    files = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"locked"))], "sha256 string, content binary")
+    assert rows(render_pages(files, adapter), "sha256", "n", "failure") == [("a", 1, None), ("b", None, "password")]
+
+
+def test_new_runs_are_numbered_after_the_last(spark):
+    docs = spark.createDataFrame([(5,), (70_000,), (70_001,)], "id long")
+    runs = spark.createDataFrame([(9, 5, "done")], "id long, document_id long, status string")
+    assert rows(ledger.create_runs(docs, runs, "v"), "id", "document_id") == [(10, 5), (11, 70_000), (12, 70_001)]
