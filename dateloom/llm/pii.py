@@ -55,6 +55,8 @@ TITLES: dict[str, list[str]] = {
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
+#: All titles and given names begin so; tested first, since most letters do not.
+_INITIALS = r"(?=[A-Z\u0370-\u04FF])"
 _WORD = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)*"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NEXT = rf"(?!(?:{_TITLE})(?![\p{{L}}])){_WORD}"
@@ -72,9 +74,20 @@ PATTERN = "|".join(
         r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])",
         r"(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])",
         r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9]{1,3})?(?![\p{L}\p{N}])",
-        rf"(?<![\p{{L}}\p{{N}}]){_PERSON}(?![\p{{L}}\p{{N}}])",
+        rf"{_INITIALS}(?<![\p{{L}}\p{{N}}]){_PERSON}(?![\p{{L}}\p{{N}}])",
     ]
 )
+#: What every match of the pattern holds; most texts hold none of it and are not searched further.
+SIGNAL = (
+    r"[0-9@]|AKIA|(?:sk|ghp|gho|xoxb|xoxp)[_\-]|(?:password|passwd|secret|api_key|apikey|token)[=:]|[a-f]{32}"
+    rf"|{_INITIALS}(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"
+)
+
+
+def matches_in(text: Column) -> Column:
+    """All matches of a text."""
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(SIGNAL), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
 def digits_of(x: Column) -> Column:
@@ -302,9 +315,8 @@ def redraw(units: DataFrame, key: str) -> DataFrame:
 
 def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with ``text`` rewritten and a column ``n_entities``: how many matches were replaced."""
-    matches = F.regexp_extract_all(text_or_empty(text), F.lit(PATTERN), F.lit(0))
     mentions = materialize(
-        docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(matches)).alias("e"))
+        docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(matches_in(text_or_empty(text)))).alias("e"))
         .select("_id", F.explode(units_of(F.col("e"))).alias("u"))
         .select("_id", "u.kind", "u.canon")
         .distinct(),
@@ -320,7 +332,7 @@ def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     )
     none = F.create_map().cast("map<string,int>")
     known = docs.join(maps, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn("_redrawn", F.coalesce("_redrawn", none))
-    split = known.withColumn("_e", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
+    split = known.withColumn("_e", matches_in(text_or_empty(text)))
     replaced = split.withColumn("_s", F.transform("_e", lambda e: replacement(e, F.col("_redrawn"), key)))
     parts = F.zip_with(
         F.split(F.col(text), PATTERN, -1), "_s", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
