@@ -119,16 +119,30 @@ def size_bounds(size: int, least: float) -> tuple[int, int]:
 
 
 def anchor_words(pairs: Sequence[str], least: float) -> list[str]:
-    """Words of which a unit must hold one to reach Dice ``least``: the longest whose pairs outnumber those it may miss."""
+    """Words of which a unit must hold one to reach Dice ``least``: few, long ones first, whose pairs outnumber those it may miss."""
     low, _ = size_bounds(len(pairs), least)
     may_miss = len(pairs) - math.ceil(least * (len(pairs) + low) / 2 - 1e-9)
-    words = sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (-len(w), w))
+    holding: dict[str, set[str]] = {}
+    for p in pairs:
+        for w in p.split(" "):
+            holding.setdefault(w, set()).add(p)
+    chosen: list[str] = []
     covered: set[str] = set()
-    for n, word in enumerate(words):
-        covered.update(p for p in pairs if word in p.split(" "))
-        if len(covered) > may_miss:
-            return words[: n + 1]
-    return words
+    while len(covered) <= may_miss:
+        best = max(holding.keys() - set(chosen), key=lambda w: (len(w) > 4 and bool(holding[w] - covered), len(holding[w] - covered), len(w), w))
+        chosen.append(best)
+        covered |= holding[best]
+    return chosen
+
+
+def any_word(words: Sequence[str]) -> str:
+    """A pattern for any of the words, whole and in either case; words with the same first letter share a branch."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    inside = r"[0-9a-z\x80-\x{10FFFF}]"
+    return rf"(?i)(?<!{inside})(?:{branches})(?!{inside})"
 
 
 def folded(text: Column) -> Column:
@@ -187,16 +201,21 @@ def matching_units(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATE
         return F.get(F.array_sort(F.filter(F.array(*scores), lambda s: s["dice"] >= least), better_first), 0)
 
     near = F.filter(sized, lambda u: F.size(u["common"]) >= need)
-    anchors = "|".join(sorted({w for _, pairs in known for w in anchor_words(pairs, least)}))
-    return F.when(
-        text.rlike(rf"(?:^|[ \n])(?:{anchors})(?:[ \n]|$)"), F.filter(F.transform(near, best), lambda s: s.isNotNull())
-    ).otherwise(F.array().cast("array<struct<dice:double,licence:string>>"))
+    return F.filter(F.transform(near, best), lambda s: s.isNotNull())
+
+
+def may_hold_licence(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> Column:
+    """Whether a text holds an anchor word of any template; false means that none can match."""
+    return text.rlike(any_word([w for _, body in templates for w in anchor_words(template_pairs(body), least)]))
 
 
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: its best licence, that licence's score and the number of matching units."""
-    ready = docs.select(doc_id, folded(text_or_empty(text)).alias("folded"))
-    found = ready.select(doc_id, matching_units(F.col("folded"), least=least).alias("found"))
+    none = F.array().cast("array<struct<dice:double,licence:string>>")
+    whole = text_or_empty(text)
+    ready = docs.select(doc_id, F.when(may_hold_licence(whole, least=least), folded(whole)).alias("folded"))
+    units = F.when(F.col("folded").isNotNull(), matching_units(F.col("folded"), least=least)).otherwise(none)
+    found = ready.select(doc_id, units.alias("found"))
     ranked = found.select(doc_id, F.array_sort("found", better_first).alias("found"))
     return ranked.select(
         doc_id,
