@@ -20,6 +20,13 @@ HIT = (
     "raw_text string, normalized string, label string, confidence double, context string, start int, end int, "
     "candidates array<string>, precision string, review_reasons array<string>"
 )
+
+
+def struct_of(fields: str) -> str:
+    """A column list as a struct type."""
+    return "struct<" + ",".join(":".join(f.split(" ", 1)) for f in fields.split(", ")) + ">"
+
+
 _STRINGS = pa.list_(pa.string())
 _HIT = pa.struct(
     [("raw_text", pa.string()), ("normalized", pa.string()), ("label", pa.string()), ("confidence", pa.float64())]
@@ -35,7 +42,7 @@ def hits_of(text: Column, order: str = "auto", repair: bool = True, standalone:
     if order not in ORDERS:
         raise ValueError(f"unknown date order: {order}")
 
-    @F.arrow_udf(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>")
+    @F.arrow_udf(f"array<{struct_of(HIT)}>")
     def read(texts: pa.Array) -> pa.Array:
         found = [[h._asdict() for h in read_dates(t, repair, order, standalone)] if t else [] for t in texts.to_pylist()]
         return pa.array(found, pa.list_(_HIT))
