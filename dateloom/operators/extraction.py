@@ -6,14 +6,13 @@ tested before, inside the scan's stage, so texts without a year never reach Pyth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dateloom.functions.loose import loose_parse, parse_one
 from dateloom.functions.reading import ORDERS, PREFILTER, fields_in, fold, mend, print_key, read_dates
+from dateloom.operators.grouping import Rows, map_groups
 from dateloom.operators.layout import line_boxes, span_box
 
 HIT = (
@@ -124,39 +123,26 @@ def transcription_candidates(pages: DataFrame, found: DataFrame) -> DataFrame:
         "raw_text", "normalized", "candidates", "precision", F.col("char_start").alias("start"), F.col("char_end").alias("end"),
         F.col("rule_label").alias("label"), "context",
     )
-    both = known.unionByName(heard)
-
-    def leftover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).to_pylist()
-        open_ones = [
-            (print_key(r["raw_text"]), {*r["candidates"], *filter(None, [r["normalized"]])})
-            for r in sorted((r for r in rows if r["side"] == "c"), key=lambda r: r["at"])
-        ]
-        kept = []
-        for r in sorted((r for r in rows if r["side"] == "t"), key=lambda r: r["at"]):
-            key, values = print_key(r["raw_text"]), {*r["candidates"], *filter(None, [r["normalized"]])}
-            match = next((i for i, (k, v) in enumerate(open_ones) if k == key and v & values), None)
-            if match is None:
-                kept.append(r)
-            else:
+
+    def leftover(rows: Rows) -> Rows:
+        values = lambda r: {*r["candidates"], *filter(None, [r["normalized"]])}
+        open_ones = [(print_key(r["raw_text"]), values(r)) for r in rows if r["side"] == "c"]
+        kept: Rows = []
+        for r in (r for r in rows if r["side"] == "t"):
+            key, own = print_key(r["raw_text"]), values(r)
+            match = next((i for i, (k, v) in enumerate(open_ones) if k == key and v & own), None)
+            if match is not None:
                 del open_ones[match]
-        out = [
-            {**{k: r[k] for k in ("document_id", "page", "raw_text", "normalized", "candidates", "precision", "context")},
-             "id": f"p{r['page']}-t{i}", "char_start": r["start"], "char_end": r["end"], "rule_label": r["label"], "source": "ai_only"}
-            for i, r in enumerate(kept, 1)
-        ]
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    schema = pa.schema(
-        [("document_id", pa.int64()), ("id", pa.string()), ("page", pa.int32()), ("raw_text", pa.string()), ("normalized", pa.string())]
-        + [("candidates", _STRINGS), ("precision", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]
-        + [("context", pa.string()), ("rule_label", pa.string()), ("source", pa.string())]
-    )
-    return both.groupBy("document_id", "page").applyInArrow(
-        lambda table: pa.Table.from_batches(list(leftover(iter(table.to_batches())))),
+                continue
+            placed = {"id": f"p{r['page']}-t{len(kept) + 1}", "char_start": r["start"], "char_end": r["end"], "rule_label": r["label"], "source": "ai_only"}
+            kept.append({k: r[k] for k in ("document_id", "page", "raw_text", "normalized", "candidates", "precision", "context")} | placed)
+        return kept
+
+    return map_groups(
+        known.unionByName(heard), ["document_id", "page"], ["side", "at"], leftover,
         "document_id long, id string, page int, raw_text string, normalized string, candidates array<string>, precision string, "
         "char_start int, char_end int, context string, rule_label string, source string",
-    )
+    )
 
 
 def register_sql(spark: SparkSession) -> None:

@@ -6,13 +6,12 @@ holds them in one array, so that box look-ups need no join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dateloom.operators.grouping import Rows, map_groups
+
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 # Least characters of a text layer, area shares of a stamped scan, and the gap of joined fragments.
 LEAST_CHARACTERS, IMAGE_SHARE, GLYPH_SHARE, JOIN_GAP = 20, 0.5, 0.03, 3.0
@@ -61,20 +60,18 @@ def line_boxes(words: Column, text: Column, start: Column, end: Column) -> Colum
 def group_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """Words with their line and place in it: a word opens a line when its middle is below the line's first word."""
 
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-        line, bottom, numbers = -1, float("-inf"), []
-        for top, low in zip(page["y0"], page["y1"], strict=True):
-            if (top + low) / 2 > bottom:
-                line, bottom = line + 1, low
-            numbers.append(line)
-        page["line"] = numbers
-        page = page.sort_values(["line", "x0"], kind="stable")
-        page["place"] = page.groupby("line").cumcount()
-        return page
+    def lines(page: Rows) -> Rows:
+        placed: list[Rows] = []
+        bottom = float("-inf")
+        for word in page:
+            if (word["y0"] + word["y1"]) / 2 > bottom:
+                placed.append([])
+                bottom = word["y1"]
+            placed[-1].append(word)
+        return [w | {"line": n, "place": i} for n, line in enumerate(placed) for i, w in enumerate(sorted(line, key=lambda w: w["x0"]))]
 
     schema = T.StructType([*words.schema.fields, T.StructField("line", T.IntegerType()), T.StructField("place", T.IntegerType())])
-    return words.groupBy(*keys).applyInPandas(lines, schema)
+    return map_groups(words, keys, ["y0", "x0"], lines, schema)
 
 
 def join_words(words: DataFrame, keys: list[str]) -> DataFrame:

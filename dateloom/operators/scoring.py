@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import chain
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dateloom.operators.grouping import Rows, map_groups
+
 OUTCOME = "document_id long, page int, raw_text string, kind string, predicted_type string, gold_type string, silent boolean, hallucinated boolean"
 
 
@@ -68,18 +69,13 @@ def match_gold(predicted: DataFrame, gold: DataFrame, pages: DataFrame, by: str
             )
         )
     )
-    schema = pa.schema(
-        [("document_id", pa.int64()), ("page", pa.int32()), ("raw_text", pa.string()), ("kind", pa.string())]
-        + [("predicted_type", pa.string()), ("gold_type", pa.string()), ("silent", pa.bool_()), ("hallucinated", pa.bool_())]
-    )
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        part = {s: [r for r in rows if r["side"] == s] for s in "pgt"}
+    def run(group: Rows) -> Rows:
+        part = {s: [r for r in group if r["side"] == s] for s in "pgt"}
         out = match_document(part["p"], part["g"], {r["page"]: r["raw_text"] for r in part["t"]}, by)
-        return pa.Table.from_pylist([{"document_id": rows[0]["document_id"], **o} for o in out], schema=schema)
+        return [{"document_id": group[0]["document_id"], **o} for o in out]
 
-    return rows.groupBy("document_id").applyInArrow(run, OUTCOME)
+    return map_groups(rows, ["document_id"], [], run, OUTCOME)
 
 
 def counted(outcomes: DataFrame) -> DataFrame:
