@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,9 +72,15 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 
 
 def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that nothing refers to any more, before the next large one."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more, before the next large one.
+
+    Python lets go of its handles first; Spark's cleaner learns of the files at the
+    collection after that and deletes them in the background within a second or two.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def ascii_lower(text: Column) -> Column:
