@@ -11,6 +11,8 @@ Encoding goes through a per-process cache of pieces: a word with the space befor
 it, a mark that ends it, or a line feed. Pre-tokens of a byte-level vocabulary never
 reach past a lone white-space character, nor from a letter to a mark, so a piece
 encodes alike wherever it stands; texts with runs of white space are encoded whole.
+New words of letters go straight to the tokenizer's model, if that gives what the whole
+tokenizer gives for some words tried at the start.
 
 Edge cases: a null or empty text has the end id alone; a null id comes first and
 is stored as the smallest 64-bit integer; ids may repeat; an empty table gives an
@@ -39,8 +41,7 @@ from dateloom.llm.common import bound_batches, scratch_path, text_or_empty
 from dateloom.llm.files import open_fs, read_array, write_bytes
 
 #: Pieces that a process keeps encoded.
-CACHED_PIECES = 800_000
-WORDS_A_TEXT = 64
+CACHED_PIECES = 1_200_000
 NO_ID = -(2**63)
 MANIFEST = "part long, name string, docs long, tokens long, base long"
 #: White space other than the plain space and the line feed; a full stop or comma after something other than a letter or digit.
@@ -48,6 +49,17 @@ _OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in
 _ODD_MARK = re.compile(r"[.,](?<=[\W_][.,])")
 
 
+#: Byte-level vocabularies write each byte as a letter: printable ones of Latin-1 as they are, the others from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def bytes_as_letters(word: str) -> str:
+    if word.isascii():
+        return word.replace(" ", "\u0120")
+    return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_AS_LETTERS)
+
+
 def pieces_of(text: str) -> list[str] | None:
     """A text cut where no pre-token reaches across; None if white space stands in runs, which takes the whole text to read."""
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or any(c in text for c in _OTHER_BLANKS):
@@ -69,35 +81,26 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         wide = self.tokenizer.get_vocab_size() > 2**16
         self.dtype, self.code = ("<u4", "I") if wide else ("<u2", "H")
-        self.feed = self.encode(["\n"])[0]
         self.known: dict[str, bytes] = {"": b""}
+        tried = [" the", "Hello", " naïve", " Größenordnung", "x", " antidisestablishmentarianism", " слово", "日本"]
+        self.direct = self.by_model(tried) == self.encode(tried)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         code = self.code
         return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """As ``encode`` for words without inner white space: texts of lines, whose line feeds are tokens of their own."""
-        width, found = len(self.feed), []
-        feed = np.frombuffer(self.feed, self.dtype)[0]
-        groups = [words[i : i + WORDS_A_TEXT] for i in range(0, len(words), WORDS_A_TEXT)]
-        texts = self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
-        for group, text in zip(groups, texts, strict=True):
-            ids = np.array(text.ids, self.dtype)
-            raw = ids.tobytes()
-            ends = [*(np.flatnonzero(ids == feed) * width).tolist(), len(raw)]
-            starts = [0, *(e + width for e in ends[:-1])]
-            found += [raw[a:b] for a, b in zip(starts, ends, strict=True)] if len(ends) == len(group) else self.encode(group)
-        return found
+    def by_model(self, words: list[str]) -> list[bytes]:
+        """As ``encode`` for words of letters, each one pre-token, where the model reads bytes as letters."""
+        code, tokenize = self.code, self.tokenizer.model.tokenize
+        return [array(code, [t.id for t in tokenize(bytes_as_letters(w))]).tobytes() for w in words]
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are new."""
         if len(self.known) > CACHED_PIECES:
             self.known = {"": b""}
         missing = pieces - self.known.keys()
-        words = [x for x in missing if x[1:].isalpha() and x[0].isprintable()]
-        one_feed = len(self.feed) == np.dtype(self.dtype).itemsize
-        self.known.update(zip(words, self.encode_words(words) if one_feed else self.encode(words), strict=True))
+        words = [x for x in missing if x.removeprefix(" ").isalpha()]
+        self.known.update(zip(words, self.by_model(words) if self.direct else self.encode(words), strict=True))
         others = list(missing.difference(words))
         self.known.update(zip(others, self.encode(others), strict=True))
 

@@ -46,7 +46,7 @@ def test_awkward_tables(spark, name):
     assert RUNS[name](spark, clashing(spark)).count() == len(PLAIN)
 
 
-PIECES = [" ", "  ", "\n", "\n\n", "\t", " \n", "a", "the", ".", ",", "...", "'s", "don't", "é", "1", "12,000", "_", "_.", "日本", "🙂", "<|endoftext|>", "\0", "\x1c", "\x85", ". ", ", "]
+PIECES = [" ", "  ", "-", "--", "ñandú", "The", "²", " ", "\n", "\n\n", "\t", " \n", "a", "the", ".", ",", "...", "'s", "don't", "é", "1", "12,000", "_", "_.", "日本", "🙂", "<|endoftext|>", "\0", "\x1c", "\x85", ". ", ", "]
 
 
 @settings(max_examples=200, deadline=None)
