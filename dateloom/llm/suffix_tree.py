@@ -421,12 +421,12 @@ def exchange(
         send, "channel string, part int, chunk int, name string, keys binary, vals binary"
     )
     summed = (
-        sent.repartition("channel", "part")
+        sent.repartition(2 << bits, "channel", "part")
         .sortWithinPartitions("channel", "part", "chunk")
         .mapInArrow(answers, "name string, channel string, part int, vals binary")
     )
     saved = (
-        summed.repartition("name", "channel")
+        summed.repartition(2 * len(chunks), "name", "channel")
         .sortWithinPartitions("name", "channel", "part")
         .mapInArrow(keep, "channel string, total double, distinct double, once double")
     )
