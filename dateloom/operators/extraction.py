@@ -46,7 +46,8 @@ def hits_of(text: Column, order: str = "auto", repair: bool = True, standalone:
         found = [[h._asdict() for h in read_dates(t, repair, order, standalone)] if t else [] for t in texts.to_pylist()]
         return pa.array(found, pa.list_(_HIT))
 
-    return read(text)
+    # Else the filter that Spark infers for an explode is pushed below the reader, and every text is read twice.
+    return read.asNondeterministic()(text)
 
 
 def _of_text(function, kind: str, arrow: pa.DataType):

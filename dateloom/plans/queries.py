@@ -38,6 +38,12 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "orders") -> DataFrame:
+    """A table whose rows are read by Python: dealt over all cores where its few files would keep them on one."""
+    df, cores = t(spark, sf, name), spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 # --- printed dates -------------------------------------------------------------------------------
 
 #: What the lines of ``synth.document_lines`` hold, in DuckDB.
@@ -62,7 +68,7 @@ GOLD = f"""
            CASE WHEN two THEN 'ambiguous_numeric_date' WHEN by_month THEN 'month_precision' ELSE '' END AS reasons FROM gold""")
 def x_formats(spark: SparkSession, sf: str) -> DataFrame:
     """Every printed format."""
-    lines = synth.document_lines(t(spark, sf, "orders"))
+    lines = synth.document_lines(texts(spark, sf))
     return extraction.extract(lines).select(
         "o_orderkey", "i", "normalized", F.array_join("candidates", "|").alias("candidates"), "precision", "label", "confidence",
         F.array_join("review_reasons", ",").alias("reasons"),
@@ -73,7 +79,7 @@ def x_formats(spark: SparkSession, sf: str) -> DataFrame:
           contains(strftime(o_orderdate, '%Y-%m-%d'), '0') AS repaired, 'expiry' AS label FROM orders""")
 def x_ocr(spark: SparkSession, sf: str) -> DataFrame:
     """Damaged digits and field words."""
-    lines = t(spark, sf, "orders").select(
+    lines = texts(spark, sf).select(
         "o_orderkey", F.concat(F.lit("Exp1ry: "), synth.damaged(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("digits"))).alias("text")
     )
     found = extraction.extract(lines)
@@ -86,14 +92,14 @@ def x_roman_ocr(spark: SparkSession, sf: str) -> DataFrame:
     roman = F.element_at(F.array(*map(F.lit, synth.ROMAN)), F.month("o_orderdate"))
     noisy = F.when(F.length(roman) > 2, F.translate(roman, "I", "l")).otherwise(roman)
     text = F.concat(F.lit("Expiry "), F.date_format("o_orderdate", "dd"), F.lit("."), noisy, F.lit("."), F.date_format("o_orderdate", "yyyy"))
-    lines = t(spark, sf, "orders").where(~F.month("o_orderdate").isin(1, 5, 10)).select("o_orderkey", text.alias("text"))
+    lines = texts(spark, sf).where(~F.month("o_orderdate").isin(1, 5, 10)).select("o_orderkey", text.alias("text"))
     return extraction.extract(lines).select("o_orderkey", "normalized")
 
 
 @query(f"""WITH {GOLD} SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS normalized FROM base WHERE o_orderkey % 2 = 0""")
 def x_declared_order(spark: SparkSession, sf: str) -> DataFrame:
     """A declared order leaves one reading."""
-    lines = t(spark, sf, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("EXP "), F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
+    lines = texts(spark, sf).where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("EXP "), F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
     return extraction.extract(lines, order="dmy").select("o_orderkey", "normalized")
 
 
@@ -103,7 +109,7 @@ def x_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Each date takes the word next to it, none reaches past another date."""
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
     text = F.concat(F.lit("Mfg: "), iso, F.lit("  Exp: "), iso, F.lit("  Other: "), iso)
-    return extraction.extract(t(spark, sf, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", "label", "normalized")
+    return extraction.extract(texts(spark, sf).select("o_orderkey", text.alias("text"))).select("o_orderkey", "label", "normalized")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 1 END AS hits FROM orders""")
@@ -117,7 +123,7 @@ def x_lookalikes(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("Expiry: 31/02/"), year))
         .otherwise(F.concat(F.lit("EXP 03."), year))
     )
-    lines = t(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    lines = texts(spark, sf).select("o_orderkey", text.alias("text"))
     found = lines.withColumn("h", extraction.hits_of(F.col("text")))
     return found.select("o_orderkey", F.size("h").alias("hits"))
 
@@ -148,14 +154,14 @@ def x_loose(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 1, F.concat_ws(" ", F.date_format(d, "MMMM"), F.date_format(d, "yyyy")))
         .otherwise(F.concat(F.date_format(d, "MMMM"), F.lit(" March "), F.date_format(d, "yyyy")))
     )
-    found = t(spark, sf, "orders").select("o_orderkey", extraction.loose_date(text).alias("r"))
+    found = texts(spark, sf).select("o_orderkey", extraction.loose_date(text).alias("r"))
     return found.select("o_orderkey", "r.value", "r.precision")
 
 
 @query(f"""WITH {GOLD} SELECT b.o_orderkey, normalized, candidates, precision FROM base b LEFT JOIN gold USING (o_orderkey)""")
 def x_one_date(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes with exactly one date; a spaced one-letter numeral is read by the forgiving reader alone."""
-    lines = synth.document_lines(t(spark, sf, "orders"))
+    lines = synth.document_lines(texts(spark, sf))
     quote = F.when((F.col("style") == "roman_space") & F.month("day").isin(1, 5, 10), F.lit("no date")).otherwise(synth.printed(F.col("day"), F.col("style")))
     found = lines.select("o_orderkey", extraction.one_date(quote).alias("r"))
     return found.select("o_orderkey", "r.normalized", F.array_join("r.candidates", "|").alias("candidates"), "r.precision")
@@ -165,7 +171,7 @@ def x_one_date(spark: SparkSession, sf: str) -> DataFrame:
 def x_table_function(spark: SparkSession, sf: str) -> DataFrame:
     """The reader as a table function in SQL."""
     extraction.register_sql(spark)
-    t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Expiry "), F.date_format("o_orderdate", "dd MMM yyyy")).alias("text")).createOrReplaceTempView("dateloom_lines")
+    texts(spark, sf).select("o_orderkey", F.concat(F.lit("Expiry "), F.date_format("o_orderdate", "dd MMM yyyy")).alias("text")).createOrReplaceTempView("dateloom_lines")
     return spark.sql("SELECT o_orderkey, normalized FROM dateloom_lines, LATERAL extract_dates(text)")
 
 
@@ -176,7 +182,7 @@ def pages_of_orders(spark: SparkSession, sf: str) -> DataFrame:
     """A page per order: a heading, an expiry date wrapped after its month, and words on a grid of characters."""
     d = F.col("o_orderdate")
     lines = F.array(F.lit("Certificate of analysis"), F.concat(F.lit("Expiry date: "), F.date_format(d, "MMMM")), F.concat(F.date_format(d, "d, yyyy"), F.lit(" end")))
-    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), "o_orderdate", lines.alias("lines"))
+    rows = texts(spark, sf).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), "o_orderdate", lines.alias("lines"))
     exploded = rows.select("document_id", F.posexplode("lines").alias("row", "line"))
     words = exploded.select("document_id", "row", "line", F.posexplode(F.split("line", " ")).alias("k", "w"))
     col = F.length(F.array_join(F.slice(F.split("line", " "), 1, F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
@@ -216,7 +222,7 @@ def c_transcription(spark: SparkSession, sf: str) -> DataFrame:
     """Transcribed dates beyond those of the text; each text date absorbs one, print damage apart."""
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
     heard = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Exp "), iso, F.lit(" Mfg "), iso)).otherwise(F.concat(F.lit("Exp "), F.translate(iso, "0", "O")))
-    pages = t(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), F.concat(F.lit("Exp: "), iso).alias("text"), heard.alias("transcription"))
+    pages = texts(spark, sf).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), F.concat(F.lit("Exp: "), iso).alias("text"), heard.alias("transcription"))
     return extraction.transcription_candidates(pages, extraction.candidates(pages)).select("document_id", "id", "normalized")
 
 
@@ -227,7 +233,7 @@ def numeric_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as printed dates of their customer: every 17th customer writes month first in every 5th order."""
     mixed = (F.col("o_custkey") % 17 == 0) & (F.col("o_orderkey") % 5 == 0)
     raw = F.when(mixed, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    return t(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("id"), raw.alias("raw_text"), F.to_date("o_orderdate").alias("day"))
+    return texts(spark, sf).select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("id"), raw.alias("raw_text"), F.to_date("o_orderdate").alias("day"))
 
 
 VOTES = """
@@ -383,13 +389,13 @@ LINES = [
 def l_offline(spark: SparkSession, sf: str) -> DataFrame:
     """Types from the words on the line or the heading above."""
     head = F.element_at(F.array(*(F.lit(x) for x, _ in LINES)), (F.col("o_orderkey") % len(LINES) + 1).cast("int"))
-    pages = t(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), F.concat(head, F.date_format("o_orderdate", "d MMM yyyy")).alias("text"))
+    pages = texts(spark, sf).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), F.concat(head, F.date_format("o_orderdate", "d MMM yyyy")).alias("text"))
     return labelling.label_offline(extraction.candidates(pages), pages).select("document_id", "date_type", "confidence")
 
 
 def suggestions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Pages with one ambiguous date, and label and missed-date suggestions of every kind by the order's key."""
-    orders = t(spark, sf, "orders").where("o_orderkey % 10 = 0").withColumn("k", (F.col("o_orderkey") / 10 % 10).cast("int"))
+    orders = texts(spark, sf).where("o_orderkey % 10 = 0").withColumn("k", (F.col("o_orderkey") / 10 % 10).cast("int"))
     pages = orders.select(
         F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), "k", "o_orderdate",
         F.concat(F.lit("Expiry 03/04/2031 written DD/MM/YYYY\nSigned the "), F.date_format("o_orderdate", "d"), F.lit(" of "), F.date_format("o_orderdate", "MMMM"), F.lit(" in "), F.date_format("o_orderdate", "yyyy"), F.lit(" here")).alias("text"),
@@ -996,7 +1002,7 @@ def e_check_gold(spark: SparkSession, sf: str) -> DataFrame:
            SELECT style, gold, found, round(found / gold, 4)::DOUBLE AS recall FROM r""")
 def e_recall_by_format(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of each printed format of the generator."""
-    lines = synth.document_lines(t(spark, sf, "orders"))
+    lines = synth.document_lines(texts(spark, sf))
     hits = extraction.extract(lines).select("o_orderkey", F.col("candidates").alias("read"))
     gold = lines.withColumn("g", synth.gold_of(F.col("day"), F.col("style"))).select("o_orderkey", "style", "g.candidates")
     joined = gold.join(hits, "o_orderkey", "left").groupBy("style").agg(
@@ -1117,7 +1123,7 @@ def s_process_json(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("Expiry "), F.date_format("o_orderdate", "d MMM yyyy"))
     word = F.concat(F.lit('{"text":"Expiry","bbox":{"x0":0,"y0":0,"x1":9,"y1":9},"char_start":0,"char_end":6,"confidence":null}'), F.lit(',{"text":"date","bbox":{"x0":0,"y0":9,"x1":9,"y1":19},"char_start":7,"char_end":20,"confidence":null}'))
     page = F.concat(F.lit('[{"n":1,"width":100,"height":100,"text":"'), text, F.lit('","text_source":"pdf","words":['), word, F.lit('],"transcription":null}]'))
-    layouts = t(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("document_id"), page.alias("layouts_json"))
+    layouts = texts(spark, sf).where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("document_id"), page.alias("layouts_json"))
     kind = "struct<dates:array<struct<normalized:string,date_type:string,bbox:struct<x0:double>>>,flags:array<struct<rule:string>>>"
     parsed = batch.process_json(layouts, TODAY).select("document_id", F.from_json("result", kind).alias("r"))
     one = F.get("r.dates", F.lit(0))
