@@ -3,8 +3,7 @@
 Symbols are the words of a text and one end mark; all words never seen in learning
 are one more symbol. The root has the words' frequencies, with the share of words
 seen once kept for the unknown one (Good-Turing). A state is a context of one word
-that learning saw at least twice, or of two that it saw together at least twice and
-``SURPRISE`` times as often as chance would have it. It is kept if its next-word distribution
+or of two that learning saw at least twice. It is kept if its next-word distribution
 diverges from its parent's: leaving each occurrence out in turn, the occurrences must
 be likelier after the state than after its parent. Distributions are smoothed by
 absolute discounting towards the parent's, so each sums to one. A word is scored
@@ -47,9 +46,9 @@ from dateloom.llm.files import open_fs
 LEAST_COUNT, DISCOUNT, LEAST_GAIN = 2, 0.75, 2.0
 #: Words after which a task starts a new chunk, and keys that one task of an exchange adds up.
 CHUNK_WORDS, KEYS_A_PART = 1_500_000, 2_000_000
-#: How much commoner than by chance two words must be to be a context; bits of a pair's or triple's key beyond those
-#: that number all words, so that one key in a million shares its sums with another, whatever the corpus.
-SURPRISE, SPARE_BITS = 4.0, 20
+#: Bits of a pair's or triple's key beyond those that number all words, so that one key in a million shares its sums
+#: with another, whatever the corpus.
+SPARE_BITS = 20
 NO_ID = -(2**63)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
@@ -232,9 +231,7 @@ class Chunk:
         here = np.flatnonzero(self.place >= 2)
         context = pair_at[here - 1]
         here, context = here[context >= 0], context[context >= 0]
-        together = self.pair_counts[context, 0]
-        chance = self.words[self.tokens[here - 2]] * self.words[self.tokens[here - 1]] / max(self.model.tokens, 1)
-        grown = (together >= LEAST_COUNT) & (together >= SURPRISE * chance)
+        grown = self.pair_counts[context, 0] >= LEAST_COUNT
         here, context = here[grown], context[grown]
         return here, *distinct(mix(keys[context], self.hashes[self.tokens[here]], self.model.bits)), context
 

@@ -142,6 +142,12 @@ def test_next_word_distributions_sum_to_one(tmp_path):
     assert math.isclose(p.sum(), 1)
 
 
+def test_frequent_pairs_are_contexts_whatever_their_lift(spark):
+    """The word after "a b" or "b b" is certain, but neither pair is commoner than 1.5 times chance."""
+    found = score_documents(documents(spark, [(i, "a b b " * 100, "en", "s") for i in range(40)])).collect()
+    assert all(r.score / r.n_tokens > -0.1 for r in found) and any(r.held_out for r in found)
+
+
 def test_golay_code_is_perfect():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 1 << 23, 20_000).astype(np.int32)
