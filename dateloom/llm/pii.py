@@ -21,12 +21,15 @@ columns pass through ``pseudonymize`` untouched.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm.common import materialize, text_or_empty
 
 KEY = "dateloom surrogate key 1"
+#: Redraws after which a number, address or secret still without a free surrogate ends the job: its format has too few.
 MAX_ATTEMPTS = 60
 
 #: Given and family names by script; genders f, m. Fixed values.
@@ -185,10 +188,9 @@ def pick(names: list[str], drawn: Column, at: int) -> Column:
 
 
 def drawn_name(names: list[str], drawn: Column, attempt: Column) -> Column:
-    """One name at first; two joined by a hyphen from the first redraw; three from the tenth."""
-    two = F.when(attempt > 0, F.concat(F.lit("-"), pick(names, drawn, 9))).otherwise("")
-    three = F.when(attempt > 9, F.concat(F.lit("-"), pick(names, drawn, 17))).otherwise("")
-    return F.concat(pick(names, drawn, 1), two, three)
+    """One name at first, and one more joined by a hyphen with each redraw, so that there are names for any number of units."""
+    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: pick(names, F.substr(drawn, i % 16 * 8 + 1, F.lit(8)), 1))
+    return F.concat(pick(names, drawn, 1), F.when(attempt > 0, F.concat(F.lit("-"), F.array_join(more, "-"))).otherwise(""))
 
 
 def decimal(drawn: Column) -> Column:
@@ -287,10 +289,11 @@ def redraw(units: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the units whose first surrogate was taken, with the first attempt that is free.
 
     Of units that draw the same surrogate the first in order keeps it; a surrogate
-    equal to a real unit of its kind is free for nobody.
+    equal to a real unit of its kind is free for nobody. Names are drawn until all
+    have one, as there are ever more; other formats are finite.
     """
     state = units.select("kind", "canon", F.lit(0).alias("attempt"))
-    for _ in range(MAX_ATTEMPTS):
+    for done in count():
         drawn = state.withColumn("value", F.lower(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
         keeper = drawn.groupBy("kind", "value").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("keeper"), F.count(F.lit(1)).alias("n"))
         taken = keeper.where(F.col("n") > 1).select("kind", "value", "keeper")
@@ -304,13 +307,14 @@ def redraw(units: DataFrame, key: str) -> DataFrame:
         clash = materialize(clash, "pii-clashes")
         if not clash.take(1):
             return state.where(F.col("attempt") > 0)
+        if done >= MAX_ATTEMPTS and clash.where(~F.col("kind").rlike("^(given|family)_")).take(1):
+            raise RuntimeError("surrogates keep colliding: a format has too few for the units found")
         state = materialize(
             state.join(clash, ["kind", "canon"], "left").select(
                 "kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")
             ),
             "pii-attempts",
         )
-    raise RuntimeError("surrogates keep colliding: the name lists are too short for the units found")
 
 
 def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:

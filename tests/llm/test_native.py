@@ -162,3 +162,13 @@ def test_redrawn_units_are_distinct(spark):
     again = redraw(units, "k")
     drawn = units.join(again, ["kind", "canon"], "left").select(surrogate(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
     assert drawn.distinct().count() == 300
+
+
+def test_names_never_run_out(spark):
+    """More units than three names of the list can tell apart (8 + 64 + 512)."""
+    units = spark.range(3000).select(F.lit("given_greek_f").alias("kind"), F.concat(F.lit("n"), "id").alias("canon"))
+    from dateloom.llm.pii import surrogate
+
+    again = redraw(units, "k")
+    drawn = units.join(again, ["kind", "canon"], "left").select(surrogate(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
+    assert drawn.distinct().count() == 3000
