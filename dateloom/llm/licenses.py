@@ -1,6 +1,9 @@
 """Licence scan: units of text against licence templates by the Dice coefficient of their word bigrams.
 
-Units are the lines of a text, its paragraphs (between blank lines) and the whole.
+Units are the lines of a text, its paragraphs (between blank lines) and the whole,
+and for each template the best run of lines; if none of them matches, any run of words
+is one. A run has at most twice as many words as the largest set of pairs its template
+can match; all the runs of a text count as one unit, and only if no other matches.
 Unit and template are lower-cased, ASCII marks become spaces, and each is the set
 of its pairs of neighbouring words. Dice >= ``least`` needs the sizes to be within a
 factor of (2 - least) / least, which prunes templates before sets are compared, and a
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,6 +207,79 @@ def matching_units(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATE
     return F.filter(F.transform(near, best), lambda s: s.isNotNull())
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def placed_words(text: Column) -> Column:
+    """array<struct(w, k, m)> of a folded text: each word, its place in its line and the line's words."""
+    lines = F.transform(F.split(text, r"\n"), lambda u: F.split(F.trim(F.regexp_replace(u, " +", " ")), " "))
+    filled = F.filter(lines, lambda ws: F.get(ws, 0) != "")
+    return F.flatten(F.transform(filled, lambda ws: F.transform(ws, lambda w, k: F.struct(w.alias("w"), k.alias("k"), F.size(ws).alias("m")))))
+
+
+def matching_windows(text: Column, whole_lines: bool, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> Column:
+    """array<struct(dice, licence)> of a folded text: for each template that a window reaches, the best window's score.
+
+    Windows are runs of whole lines, blank ones skipped, or else any neighbouring words. Words or lines at the edge
+    without a pair of the template only lower the score, so windows begin and end with one that has such a pair.
+    """
+    known = [(name, template_pairs(body)) for name, body in templates]
+    every = sorted({p for _, pairs in known for p in pairs})
+    none = F.array().cast("array<struct<dice:double,licence:string>>")
+
+    def scores(words: Column, pairs: Column, hits: Column) -> Column:
+        def first(h: Column) -> Column:
+            return h["j"] - F.get(words, h["j"])["k"] if whole_lines else h["j"]
+
+        def last(h: Column) -> Column:
+            j = h["j"] + 1
+            return j - F.get(words, j)["k"] + F.get(words, j)["m"] - 1 if whole_lines else j
+
+        def of(name: str, own_pairs: list[str]) -> Column:
+            t = len(own_pairs)
+            lo, hi = size_bounds(t, least)
+            need = math.ceil(least * (t + lo) / 2 - 1e-9)
+            distinct = lambda hs: F.size(F.array_distinct(F.transform(hs, lambda h: h["p"])))
+
+            def dice(near: Column, a: Column, z: Column) -> Column:
+                def with_common(common: Column) -> Column:
+                    n = F.when(common >= need, F.size(F.array_distinct(F.slice(pairs, a + 1, z - a))))
+                    return let(n, lambda n: F.when(n.between(lo, hi), F.lit(2.0) * common / (n + F.lit(t))))
+
+                return let(distinct(F.filter(near, lambda h: h["j"] < z)), with_common)
+
+            def from_start(own: Column, a: Column) -> Column:
+                def ends(near: Column) -> Column:
+                    stops = F.filter(F.array_distinct(F.transform(near, last)), lambda z: (z - a).between(lo, 2 * hi))
+                    return F.when(distinct(near) >= need, F.array_max(F.transform(stops, lambda z: dice(near, a, z))))
+
+                return let(F.filter(own, lambda h: h["j"].between(a, a + F.lit(2 * hi))), ends)
+
+            def best(own: Column) -> Column:
+                starts = F.array_distinct(F.transform(own, first))
+                return F.when(distinct(own) >= need, F.array_max(F.transform(starts, lambda a: from_start(own, a))))
+
+            listed = F.split(F.lit("\n".join(own_pairs)), "\n")  # one constant: a literal a pair takes seconds to build
+            score = let(F.filter(hits, lambda h: F.array_contains(listed, h["p"])), best)
+            return F.struct(score.alias("dice"), F.lit(name).alias("licence"))
+
+        return F.filter(F.array(*(of(name, p) for name, p in known)), lambda s: s["dice"] >= least)
+
+    def with_words(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a["w"], b["w"]))
+
+        def with_pairs(pairs: Column) -> Column:
+            placed = F.transform(pairs, lambda p, j: F.when(p.isin(every), F.struct(p.alias("p"), j.alias("j"))))
+            return let(F.filter(placed, lambda h: h.isNotNull()), lambda hits: scores(words, pairs, hits))
+
+        return F.when(n > 0, let(pairs, with_pairs)).otherwise(none)
+
+    return let(placed_words(text), with_words)
+
+
 def may_hold_licence(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> Column:
     """Whether a text holds an anchor word of any template; false means that none can match."""
     return text.rlike(any_word([w for _, body in templates for w in anchor_words(template_pairs(body), least)]))
@@ -215,13 +291,20 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     whole = text_or_empty(text)
     ready = docs.select(doc_id, F.when(may_hold_licence(whole, least=least), folded(whole)).alias("folded"))
     units = F.when(F.col("folded").isNotNull(), matching_units(F.col("folded"), least=least)).otherwise(none)
-    found = ready.select(doc_id, units.alias("found"))
-    ranked = found.select(doc_id, F.array_sort("found", better_first).alias("found"))
+    windows = lambda lines: F.when(F.col("folded").isNotNull(), matching_windows(F.col("folded"), lines, least=least)).otherwise(none)
+
+    def with_words(found: Column) -> Column:
+        return F.when(F.size(found["all"]) > 0, found).otherwise(F.struct(windows(False).alias("all"), found["units"].alias("units")))
+
+    both = let(units, lambda u: F.struct(F.concat(u, windows(True)).alias("all"), F.size(u).alias("units")))
+    ranked = ready.select(doc_id, let(both, with_words).alias("found")).select(
+        doc_id, F.array_sort("found.all", better_first).alias("found"), F.col("found.units").alias("units")
+    )
     return ranked.select(
         doc_id,
         F.get("found", F.lit(0))["licence"].alias("licence"),
         F.get("found", F.lit(0))["dice"].alias("dice"),
-        F.size("found").cast("long").alias("n_units"),
+        F.greatest("units", F.least(F.size("found"), F.lit(1))).cast("long").alias("n_units"),
     )
 
 

@@ -172,3 +172,15 @@ def test_names_never_run_out(spark):
     again = redraw(units, "k")
     drawn = units.join(again, ["kind", "canon"], "left").select(surrogate(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
     assert drawn.distinct().count() == 3000
+
+
+def test_notices_of_several_paragraphs_and_inside_lines_are_found(spark):
+    mit = next(body for name, body in TEMPLATES if name == "MIT" and len(body) > 500)
+    cut = [i for i in (mit.find("The above"), mit.find("THE SOFTWARE IS")) if i > 0]
+    paragraphs = [mit[a:b] for a, b in zip([0, *cut], [*cut, len(mit)], strict=True)]
+    code = "\n".join(f"def function_{i}(x): return x + {i}" for i in range(150))
+    inside = "some words before " * 9 + "Licensed under CC BY 4.0. " + "and others after " * 9
+    rows = [(1, "# A tool\n\n" + "\n\n".join(paragraphs) + "\n\n" + code, "en", "s"), (2, inside, "en", "s"), (3, code, "en", "s")]
+    found = {r.doc_id: r for r in scan_licences(documents(spark, rows)).collect()}
+    assert len(paragraphs) > 1 and found[1].licence == "MIT" and found[1].dice > 0.95 and found[1].n_units == 1
+    assert found[2].licence == "CC-BY-4.0" and found[2].dice == 1 and found[3].licence is None and found[3].n_units == 0
