@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dateloom.functions import columns as fc
 from dateloom.functions.matching import best_window, find_quote
 from dateloom.operators import checks, export, extraction, ledger, order, scoring, verification
-from dateloom.plans.batch import process_pages
+from dateloom.plans.batch import process_json, process_pages
 
 
 def rows(df, *cols):
@@ -137,6 +137,17 @@ def test_pages_to_dates_and_flags(spark):
     assert flags.count() == 0
 
 
+def test_transcription_dates_are_kept_where_the_page_prints_them(spark):
+    """The text layer's "13,II.2031" is no date by rule; the transcription's is, and is placed on it. One that is not printed is dropped."""
+    box = {"x0": 5, "y0": 0, "x1": 9, "y1": 4}
+    word = {"text": "13,II.2031", "bbox": box, "char_start": 4, "char_end": 14, "confidence": None}
+    page = {"n": 1, "width": 9, "height": 9, "text": "Exp 13,II.2031", "text_source": "pdf", "words": [word], "transcription": "Exp 13.II.2031 Mfg 2030-05-06"}
+    df = spark.createDataFrame([(1, json.dumps([page]))], "document_id long, layouts_json string")
+    found = json.loads(process_json(df, "2026-11-11").first()["result"])["dates"]
+    assert [(d["raw_text"], d["normalized"], d["source"], d["bbox"]["x0"]) for d in found] == [("13,II.2031", "2031-02-13", "ai_only", 5.0)]
+    assert found[0]["date_type"] == "expiry_date" and found[0]["confidence"] == 0.5
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "document_id long, n int, text string")
     found, flags, _ = process_pages(pages, "2026-11-11")
