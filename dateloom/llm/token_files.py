@@ -10,7 +10,8 @@ of each file from prefix sums over the token counts. Readers map the files.
 Encoding goes through a per-process cache of pieces: a word with the space before
 it, a mark that ends it, or a line feed. Pre-tokens of a byte-level vocabulary never
 reach past a lone white-space character, nor from a letter to a mark, so a piece
-encodes alike wherever it stands; texts with runs of white space are encoded whole.
+encodes alike wherever it stands; texts with runs of white space, or with a special
+token written out (which the tokenizer reads as that token), are encoded whole.
 New words of letters go straight to the tokenizer's model, if that gives what the whole
 tokenizer gives for some words tried at the start.
 
@@ -78,7 +79,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         wide = self.tokenizer.get_vocab_size() > 2**16
         self.dtype, self.code = ("<u4", "I") if wide else ("<u2", "H")
         self.known: dict[str, bytes] = {"": b""}
@@ -106,7 +107,7 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        split = [pieces_of(t) for t in texts]
+        split = [None if any(x in t for x in self.special) else pieces_of(t) for t in texts]
         self.learn(set(chain.from_iterable(s for s in split if s)))
         whole = iter(self.encode([t for t, s in zip(texts, split, strict=True) if s is None]))
         of = self.known.__getitem__
