@@ -2,12 +2,14 @@
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 A window is ``width`` consecutive words of an item, or a shorter item whole. All
-windows go into one Aho-Corasick automaton; a text's words, joined by spaces, run
-through it once, and every occurrence marks its words. Translation keeps byte
-positions, so marked words map straight back to the original text.
+windows go into one Aho-Corasick automaton, words being spelled by number; a text's
+words run through it once, and every occurrence marks its words. Translation
+keeps byte positions, so marked words map straight back to the original text.
 
 Items are broadcast in blocks of at most ``block_bytes``; usually there is one. A
-larger benchmark is split by hash, each block scans in turn, and marks are united.
+larger benchmark is split by hash. Each block is a pass of its own over the table,
+written to the shared folder with its marks, so that a worker holds one automaton at
+a time and builds it once; the marks of all passes are united.
 
 Edge cases: a null or empty text has no words and no hits; items that are null or
 wordless have no windows; equal items each count under their own ids; a null
@@ -18,19 +20,20 @@ untouched; an empty benchmark marks nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import bound_batches
+from dateloom.llm.common import bound_batches, fresh, materialize
 
 WIDTH = 10
-BLOCK_BYTES = 64 << 20
+#: Item text of one automaton, which takes some 170 bytes of a worker's memory for each byte of text.
+BLOCK_BYTES = 1 << 20
 #: Letters and digits stay (A-Z in lower case), bytes from 0x80 stay, everything else is a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -43,47 +46,53 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def build_automaton(items: list[tuple[str, str]], width: int) -> ahocorasick.Automaton | None:
-    """Values are (words of the window, ids of the items that hold it); None if there is no window."""
-    windows: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            window = words[i : i + width]
-            pattern = b" " + b" ".join(window) + b" "
-            windows.setdefault(pattern.decode("latin-1"), (len(window), set()))[1].add(item_id)
-    if not windows:
-        return None
-    automaton = ahocorasick.Automaton()
-    for pattern, (n, ids) in windows.items():
-        automaton.add_word(pattern, (n, tuple(ids)))
-    automaton.make_automaton()
-    return automaton
-
-
-@lru_cache(maxsize=2)
-def automaton_of(block: Broadcast, width: int) -> ahocorasick.Automaton | None:
-    return build_automaton(block.value, width)
-
-
-def scan(automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[int], list[str]]:
-    """Word count, marked word runs as [first, end, first, end, ...], and the ids of the items found."""
-    words = words_of(text) if text else []
-    if not words or automaton is None:
-        return len(words), [], []
-    found = list(automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
-    if not found:
-        return len(words), [], []
-    space_after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    last = np.searchsorted(space_after, [at for at, _ in found])
-    runs: list[int] = []
-    spans = sorted((int(k) - n + 1, int(k) + 1) for k, (_, (n, _)) in zip(last, found, strict=True))
-    for first, end in spans:
-        if runs and first <= runs[-1]:
-            runs[-1] = max(runs[-1], end)
-        else:
-            runs += [first, end]
-    return len(words), runs, sorted({i for _, (_, ids) in found for i in ids})
+class Windows:
+    """The automaton over the windows of some items.
+
+    A word of the items is two characters, the digits of its number, and any other word
+    is two zeros, so a window is a string twice its words long. The two digits come from
+    two alphabets, so none is found between words; each alphabet has about as many letters
+    as the root of the square of the vocabulary, since the automaton tries a node's
+    letters one by one.
+    """
+
+    def __init__(self, items: list[tuple[str, str]], width: int) -> None:
+        split = [(item_id, words_of(text)) for item_id, text in items]
+        known = dict.fromkeys(w for _, words in split for w in words)
+        base = int(len(known) ** 0.5) + 1
+        self.spelling = {w: chr(1 + i // base) + chr(1 + base + i % base) for i, w in enumerate(known)}
+        windows: dict[str, set[str]] = {}
+        for item_id, words in split:
+            spelled = "".join(map(self.spelling.__getitem__, words))
+            for i in range(0, max(1, len(spelled) - 2 * width + 1) if words else 0, 2):
+                windows.setdefault(spelled[i : i + 2 * width], set()).add(item_id)
+        self.automaton = ahocorasick.Automaton() if windows else None
+        for window, ids in windows.items():
+            self.automaton.add_word(window, (len(window) // 2, tuple(ids)))
+        if windows:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[int], list[str]]:
+        """Word count, marked word runs as [first, end, first, end, ...], and the ids of the items found."""
+        words = words_of(text) if text else []
+        if not words or self.automaton is None:
+            return len(words), [], []
+        get = self.spelling.get
+        found = list(self.automaton.iter("".join([get(w, "\0\0") for w in words])))
+        if not found:
+            return len(words), [], []
+        runs: list[int] = []
+        for first, end in sorted((at // 2 - n + 1, at // 2 + 1) for at, (n, _) in found):
+            if runs and first <= runs[-1]:
+                runs[-1] = max(runs[-1], end)
+            else:
+                runs += [first, end]
+        return len(words), runs, sorted({i for _, (_, ids) in found for i in ids})
+
+
+@lru_cache(maxsize=1)
+def windows_of(block: Broadcast, width: int) -> Windows:
+    return Windows(block.value, width)
 
 
 def character_spans(text: str, runs: list[int]) -> list[int]:
@@ -101,8 +110,8 @@ def character_spans(text: str, runs: list[int]) -> list[int]:
     return spans
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[Broadcast]:
-    """The items as broadcast lists, each of about ``block_bytes`` at most."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[Broadcast]:
+    """The items as broadcast lists, each of about ``block_bytes`` at most, one after another."""
     rows = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")
     ).where(F.col("text").isNotNull())
@@ -110,14 +119,14 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
     blocks = -(-total // block_bytes) or 1
     share = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast([tuple(r) for r in rows.where(share == b).collect()]) for b in range(blocks)]
+    return (context.broadcast([tuple(r) for r in rows.where(share == b).collect()]) for b in range(blocks))
 
 
 def hits_column(block: Broadcast, text: Column, width: int) -> Column:
     @F.arrow_udf(FOUND)
     def find(texts: pa.Array) -> pa.Array:
-        automaton = automaton_of(block, width)
-        found = [scan(automaton, t.as_py()) for t in texts]
+        scan = windows_of(block, width).scan
+        found = [scan(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays(
             [
                 pa.array([f[0] for f in found], pa.int64()),
@@ -163,13 +172,18 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
     out: str = "found",
 ) -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, n_hit, hits (word runs), items (sorted ids), contaminated."""
+    """``docs`` with a struct column ``out``: n_words, n_hit, hits (word runs), items (sorted ids), contaminated.
+
+    A column of that name is replaced; all others stay as they are.
+    """
     bound_batches(docs.sparkSession)
-    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
-    names = [f"_{out}_{i}" for i in range(len(blocks))]
+    names: list[str] = []
     marked = docs
-    for name, block in zip(names, blocks, strict=True):
-        marked = marked.withColumn(name, hits_column(block, F.col(text), width))
+    for block in item_blocks(benchmark, item_id, item_text, block_bytes):
+        if names:
+            marked = materialize(marked, "benchmark-marks")
+        names.append(fresh(marked, f"{out}_{len(names)}"))
+        marked = marked.withColumn(names[-1], hits_column(block, F.col(text), width))
     if len(names) == 1:
         runs, items = pairs(F.col(names[0])["hits"]), F.col(names[0])["items"]
     else:
