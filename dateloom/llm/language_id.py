@@ -9,11 +9,12 @@ language's share after softmax over the losses; a text is ambiguous if that shar
 is below ``AMBIGUOUS`` or it has no letter.
 
 Training reads at most ``SAMPLE_PER_LANGUAGE`` labelled texts of each language (the
-rows with the smallest hashes of their ids), each whole; only n-gram counts by
-language reach the driver, at most languages x ``FEATURES`` of them.
+rows with the smallest hashes of their ids), each whole, and of at most ``LANGUAGES``
+labels, those with the most rows; only n-gram counts by language reach the driver, at
+most ``LANGUAGES`` x ``FEATURES`` of them.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; labels that
-are null or blank teach nothing; with no labelled text at all every text is
+are null teach nothing, a blank one is a label like others; with no labelled text at all every text is
 ``und``, but none with a letter is ambiguous; with one language every text with a letter is that one; extra columns
 pass through ``predict`` untouched.
 """
@@ -35,6 +36,10 @@ SAMPLE_PER_LANGUAGE, SAMPLE_CELLS = 1_500, 4_096
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
 ORDERS = (1, 2, 3, 4)
+#: Bytes of a text whose n-grams are weighed at once, so that a text of any length takes the memory of one block.
+BLOCK = 1 << 15
+#: Languages that are learned at most: those with the most labelled rows.
+LANGUAGES = 256
 AMBIGUOUS = 0.5
 UNKNOWN = "und"
 #: A log odds of one n-gram counts this much: neighbouring n-grams overlap and are no independent evidence.
@@ -46,18 +51,28 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PREDICTION = "struct<lang:string,score:double,ambiguous:boolean>"
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed n-grams of a text's letters, one entry per occurrence."""
-    raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()) + b" "
-    octets = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    found, gram = [], np.zeros(len(octets), np.uint64)
-    for n in ORDERS:
-        if len(octets) < n:
-            break
-        gram = (gram[: len(octets) - n + 1] << np.uint64(8)) | octets[n - 1 :]
-        mixed = (gram + np.uint64(n << 40)) * MULTIPLIER
-        found.append((mixed >> np.uint64(64 - FEATURE_BITS)).astype(np.int32))
-    return np.concatenate(found)
+def features(text: str) -> Iterator[np.ndarray]:
+    """Hashed n-grams of a text's letters, one entry per occurrence, in blocks of bounded size."""
+    raw = b" " + text.lower().encode("utf-8", "surrogatepass").translate(FOLD) + b" "
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    whole = np.frombuffer(raw, np.uint8)
+    for lo in range(0, len(whole), BLOCK):
+        octets = whole[lo : lo + BLOCK + ORDERS[-1] - 1].astype(np.uint64)
+        gram = np.zeros(len(octets), np.uint64)
+        for n in ORDERS:
+            if len(octets) < n:
+                break
+            gram = (gram[: len(octets) - n + 1] << np.uint64(8)) | octets[n - 1 :]
+            mixed = (gram[:BLOCK] + np.uint64(n << 40)) * MULTIPLIER  # n-grams that start in this block
+            yield (mixed >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
+
+
+def feature_counts(text: str) -> np.ndarray:
+    out = np.zeros(FEATURES, np.int64)
+    for found in features(text):
+        out += np.bincount(found, minlength=FEATURES)
+    return out
 
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
@@ -112,7 +127,7 @@ class LanguageCode:
             return UNKNOWN, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        margins = TEMPER * self.odds[features(text)].sum(axis=0, dtype=np.float64)
+        margins = TEMPER * sum(self.odds[found].sum(axis=0, dtype=np.float64) for found in features(text))
         losses = np.logaddexp(0, -self.code * margins) @ self.weights
         shares = np.exp(losses.min() - losses)
         best = int(np.argmin(losses))
@@ -130,19 +145,20 @@ def by_language(values: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*(x for k, n in values.items() for x in (F.lit(k), F.lit(n).cast("long")))), F.col("lang"))
 
 
-def sample_limits(rows: DataFrame, per_language: int) -> dict[str, int]:
+def sample_limits(rows: DataFrame, per_language: int, languages: int) -> dict[str, int]:
     """For each language the hash up to which at most ``per_language`` rows lie (all of them where there are no more).
 
     The hashes of a language are cut at about eight times the rows asked for and
     counted in ``SAMPLE_CELLS`` cells, so no language's rows ever meet in one task.
     """
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
     if not sizes:
         return {}
     ends = {x: 2**62 if n <= per_language else int(min(1.0, 8 * per_language / n) * 2**62) for x, n in sizes.items()}
     end = by_language(ends)
     cell = F.floor(F.col("order") / (end / SAMPLE_CELLS))
-    cells = rows.where(F.col("order") <= end).groupBy("lang", cell.alias("cell")).count().collect()
+    cells = rows.where(F.col("lang").isin(list(sizes)) & (F.col("order") <= end)).groupBy("lang", cell.alias("cell")).count().collect()
     limits = {}
     for x, n in sizes.items():
         held, limit = 0, 0
@@ -161,17 +177,18 @@ def train(
     text: str = "text",
     lang: str = "lang",
     per_language: int = SAMPLE_PER_LANGUAGE,
+    languages: int = LANGUAGES,
 ) -> LanguageCode:
     """Fit the classifiers on a bounded, hash-ordered sample of the labelled rows that are not held out."""
     bound_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"),
         F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("string")), 2).alias("order"),
-    ).where(~held_out(F.col("id")) & (F.trim("lang") != "") & F.col("text").isNotNull())
-    last = sample_limits(rows, per_language)
+    ).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    last = sample_limits(rows, per_language, languages)
     if not last:
         return LanguageCode.train([], np.zeros((0, FEATURES)))
-    languages = sorted(last)
+    learned = sorted(last)
     sample = rows.where(F.col("order") <= by_language(last)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +196,7 @@ def train(
         for batch in batches:
             for one, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 into = totals.setdefault(one, np.zeros(FEATURES, np.int64))
-                into += np.bincount(features(words.as_py()), minlength=FEATURES)
+                into += feature_counts(words.as_py())
         for one, n in totals.items():
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -188,11 +205,11 @@ def train(
             )
 
     counted = sample.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(languages), FEATURES))
-    at = {x: i for i, x in enumerate(languages)}
+    counts = np.zeros((len(learned), FEATURES))
+    at = {x: i for i, x in enumerate(learned)}
     for r in counted.toLocalIterator():
         counts[at[r["lang"]], r["feature"]] = r["n"]
-    return LanguageCode.train(languages, counts)
+    return LanguageCode.train(learned, counts)
 
 
 def predict(docs: DataFrame, model: LanguageCode, text: str = "text", out: str = "predicted") -> DataFrame:
@@ -212,11 +229,12 @@ def predict(docs: DataFrame, model: LanguageCode, text: str = "text", out: str =
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: the held-out flag, the predicted language and its score."""
+    """One row per document: the held-out flag, the predicted language, its score, and whether the text is ambiguous."""
     found = predict(docs.select(doc_id, "text"), train(docs, doc_id))
     return found.select(
         doc_id,
         held_out(F.col(doc_id)).alias("held_out"),
         F.col("predicted.lang").alias("lang_pred"),
         F.col("predicted.score").alias("score"),
+        F.col("predicted.ambiguous").alias("ambiguous"),
     )
