@@ -14,8 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dateloom.llm import golay, suffix_tree
-from dateloom.llm.decontamination import character_spans, contamination_report, find_contamination, original_spans, words_of
-from dateloom.llm.language_id import LanguageCode, codewords, features, identify
+from dateloom.llm.decontamination import Windows, character_spans, contamination_report, find_contamination, original_spans, words_of
+from dateloom.llm.language_id import LanguageCode, codewords, feature_counts, identify
 from dateloom.llm.simhash import Linker, golay_keys, link_rows, near_duplicates, text_fingerprint
 from dateloom.llm.suffix_tree import score_documents
 from dateloom.llm.token_files import PieceEncoder, encoder, read_token_files, token_ids, write_token_files
@@ -49,19 +49,32 @@ def test_awkward_tables(spark, name):
 PIECES = [" ", "  ", "-", "--", "ñandú", "The", "²", " ", "\n", "\n\n", "\t", " \n", "a", "the", ".", ",", "...", "'s", "don't", "é", "1", "12,000", "_", "_.", "日本", "🙂", "<|endoftext|>", "\0", "\x1c", "\x85", ". ", ", "]
 
 
-@settings(max_examples=200, deadline=None)
+FRESH = tokenizers.Tokenizer.from_file(BPE)
+
+
+def fresh_ids(text):
+    """What the tokenizer file gives, read by nothing of ours."""
+    return FRESH.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
 def test_pieces_encode_like_whole_texts(text):
     encode = encoder(BPE)
-    whole = np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, encode.dtype).tobytes()
-    assert encode([text]) == [whole]
+    assert encode([text]) == [np.array(fresh_ids(text), encode.dtype).tobytes()]
+
+
+def test_special_tokens_in_a_text_are_read_as_the_tokenizer_reads_them():
+    text = "one <|endoftext|> two<|endoftext|>.three"
+    assert fresh_ids(text).count(FRESH.token_to_id("<|endoftext|>")) == 2
+    assert encoder(BPE)([text]) == [np.array(fresh_ids(text), encoder(BPE).dtype).tobytes()]
 
 
 def test_full_cache_starts_again(monkeypatch):
     monkeypatch.setattr("dateloom.llm.token_files.CACHED_PIECES", 3)
     encode = PieceEncoder(BPE)
     for text in ["one two three four", "five six", "one six"]:
-        assert encode([text])[0] == np.array(encode.tokenizer.encode(text).ids, encode.dtype).tobytes()
+        assert encode([text])[0] == np.array(fresh_ids(text), encode.dtype).tobytes()
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -71,7 +84,7 @@ def test_token_files_round_trip(spark, tmp_path):
     rows = sorted(PLAIN, key=lambda r: (r[0] is not None, r[0]))
     at, wanted = 0, []
     for i, t, *_ in rows:
-        ids = [*encoder(BPE).tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*fresh_ids(t or ""), 0]
         wanted.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
@@ -92,9 +105,9 @@ def brute_contamination(text, items, width=10):
     return len(words), len(hit), len(ids)
 
 
-@pytest.mark.parametrize("block", [64 << 20, 40])
+@pytest.mark.parametrize("block", [1 << 20, 40, 25])
 def test_contamination_equals_brute_force(spark, block):
-    """Also with the items in several blocks."""
+    """Also with the items in three and in five blocks."""
     found = find_contamination(documents(spark), benchmark(spark, ITEMS), block_bytes=block)
     rows = found.select("text", "found.*").collect()
     for r in rows:
@@ -102,6 +115,25 @@ def test_contamination_equals_brute_force(spark, block):
         assert r.contaminated == (r.n_hit > 0)
 
 
+def test_an_automaton_finds_what_a_search_finds():
+    """Also words outside the items, words that are parts of others, and windows that overlap."""
+    rng = np.random.default_rng(1)
+    names = [f"{a}{b}" for a in ("x", "xy", "y") for b in range(30)]
+    items = [(f"i{k}", " ".join(rng.choice(names, 12))) for k in range(40)]
+    windows = Windows(items, 3)
+    for _ in range(100):
+        text = " ".join(rng.choice([*names, "other"], 200))
+        _, runs, ids = windows.scan(text)
+        assert (sum(runs[1::2]) - sum(runs[::2]), len(ids)) == brute_contamination(text, items, 3)[1:]
+    assert Windows([("a", None or "")], 3).scan("x")[1:] == ([], [])
+
+
+def test_other_columns_stay(spark):
+    docs = documents(spark).withColumns({n: F.lit(n) for n in ("found_0", "_found_0", "found_1")})
+    out = find_contamination(docs, benchmark(spark, ITEMS), block_bytes=25)
+    assert out.columns == [*docs.columns, "found"] and {r["found_0"] + r["_found_0"] + r["found_1"] for r in out.collect()} == {"found_0_found_0found_1"}
+
+
 def test_marks_map_back_to_the_original(spark):
     text = "Süß! Quick-brown;  ünd fox"
     assert character_spans(text, [1, 3]) == [5, 16] and text[5:16] == "Quick-brown"
@@ -244,8 +276,35 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert found[903].lang_pred in words and all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_blocks_of_a_long_text_give_the_counts_of_the_whole(monkeypatch):
+    text = "".join(f"wörd{i} über the {i}" for i in range(400))
+    whole = feature_counts(text)
+    for block in (7, 64, 1000):
+        monkeypatch.setattr("dateloom.llm.language_id.BLOCK", block)
+        assert (feature_counts(text) == whole).all()
+
+
+def test_a_text_of_megabytes_takes_the_memory_of_a_block():
+    import tracemalloc
+
+    counts = np.random.default_rng(0).integers(1, 50, (8, 1 << 15)).astype(float)
+    model = LanguageCode.train([f"l{i}" for i in range(8)], counts)
+    text = "Some words of a long text, " * 750_000
+    tracemalloc.start()
+    assert model.predict(text)[0] in model.languages
+    assert tracemalloc.get_traced_memory()[1] < 6 * len(text)
+    tracemalloc.stop()
+
+
+def test_only_the_commonest_labels_are_learned(spark):
+    from dateloom.llm.language_id import train
+
+    rows = [(i, f"text {lang} {i}", lang, "s") for i, lang in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 2)]
+    assert train(documents(spark, rows), languages=2).languages == ["aa", "bb"]
+
+
 def test_without_labels_all_is_unknown(spark):
     docs = documents(spark, [(1, "some text", None, "s")])
     assert [r.lang_pred for r in identify(docs).collect()] == ["und"]
     one = LanguageCode.train(["en"], np.ones((1, 1 << 15)))
-    assert one.predict("text") == ("en", 1.0, False) and len(features("a")) > 0
+    assert one.predict("text") == ("en", 1.0, False) and feature_counts("a").sum() == 6 and feature_counts(" ! ").sum() == 1
