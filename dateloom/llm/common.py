@@ -22,9 +22,11 @@ _scratch: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir`` (set to a local folder if unset)."""
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, a folder of our own, for local masters only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("dateloom.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="dateloom-")
         spark.conf.set("dateloom.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -64,6 +66,13 @@ def release(spark: SparkSession, since: int = 0, keep: list[str] | None = None)
     _scratch[since:] = kept
 
 
+def finish(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """``df`` written to the shared folder, and all scratch tables made since ``scratch_mark`` but that one deleted."""
+    out = materialize(df, tag)
+    release(df.sparkSession, since, keep=_scratch[-1:])
+    return out
+
+
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Keep the batches of text that go to Python at ``most`` bytes or less, however long the texts are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -100,23 +109,44 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def gapless_rank(df: DataFrame, groups: list[str], cell: str, order: list[str], out: str) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order of (``cell``, ``order``).
+def gapless_rank(df: DataFrame, groups: list[str], order: list[str], out: str, rows_per_cell: int) -> DataFrame:
+    """Number the rows of each group from 0 without gaps in the order of the columns ``order``, ties in any order.
 
-    ``cell`` splits a group into pieces that one task can sort; piece bases come
-    from prefix sums over the piece counts, so no group ever meets in one task,
-    however many rows it has.
+    The first of ``order`` is a hexadecimal hash. Its leading digits cut a group into
+    cells of about ``rows_per_cell`` rows that one task can sort; cell bases come from
+    prefix sums over the cell counts. Rows repeating one hash more often than that are a
+    cell for each value of the other columns and each partition they stand in, so no
+    group ever meets in one task, however many rows it has and however many repeat. ``df`` must
+    be a written table, whose partitions stay the same from job to job.
     """
-    bases = df.groupBy(*groups, cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    bases = bases.select(*groups, cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*groups, cell).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(within).cast("long"))
-    return (
-        ranked.join(bases, [*groups, cell])
-        .withColumn(out, F.col("_base") + F.col("_rank") - 1)
-        .drop("_base", "_rank", "_n")
-    )
+    first = order[0]
+    rows = df.count()
+    cells = cells_for(rows, rows_per_cell)
+    anchors = [F.lit(""), F.lit(0)]
+    if rows > rows_per_cell:
+        often = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_cell).select(first)
+        found = sorted(r[0] for r in often.collect())  # at most rows / rows_per_cell values
+        if found:
+            often = F.split(F.lit(" ".join(found)), " ")  # one constant
+            before = F.array_max(F.filter(often, lambda v: v <= F.col(first)))
+            own = F.when(F.array_contains(often, F.col(first)), F.spark_partition_id() + 1)
+            anchors = [F.coalesce(before, F.lit("")), F.when(before.isNull(), 0).otherwise(F.coalesce(own, F.lit(2**31 - 1)))]
+    value = F.conv(F.substring(first, 1, 8), 16, 10).cast("long")
+    cut = df.withColumns({"_cell": F.floor(value * cells / F.lit(2**32)), "_after": anchors[0], "_part": anchors[1]})
+    # A repeated hash is also cut by the other columns, which come before the partition in the order.
+    repeated = (F.col("_part") > 0) & (F.col("_part") < 2**31 - 1)
+    cut = cut.withColumns({f"_by{i}": F.when(repeated, F.col(c)) for i, c in enumerate(order[1:])})
+    key = ["_cell", "_after", "_late", *(f"_by{i}" for i in range(len(order) - 1)), "_part"]
+    cut = cut.withColumn("_late", F.col("_part") == 2**31 - 1)
+    bases = cut.groupBy(*groups, *key).agg(F.count(F.lit(1)).alias("_n"))
+    before_all = Window.partitionBy(*groups).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    bases = bases.select(*groups, *key, F.coalesce(F.sum("_n").over(before_all), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*groups, *key).orderBy(*order)
+    ranked = cut.withColumn("_rank", F.row_number().over(within).cast("long"))
+    names = [*groups, *key]
+    bases = bases.select(*(F.col(c).alias(f"_b_{c}") for c in names), "_base")
+    same = [ranked[c].eqNullSafe(bases[f"_b_{c}"]) for c in names]
+    return ranked.join(bases, same).withColumn(out, F.col("_base") + F.col("_rank") - 1).drop("_base", "_rank", *key, *(f"_b_{c}" for c in names))
 
 
 def cells_for(rows: int, rows_per_cell: int) -> int:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import cells_for, gapless_rank, text_or_empty
+from dateloom.llm.common import finish, gapless_rank, materialize, scratch_mark, text_or_empty
 
 PAD_TO, BUCKETS, BUDGET = 8, 12, 65_536
 FINE_BINS = 4_096
@@ -87,29 +87,33 @@ def pack(
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """One row per input row: its bucket, the bucket's length, its batch, its place in the batch and its padding."""
+    mark = scratch_mark()
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(doc_id), (word_length() if length is None else length).alias("n_tokens"), F.md5(name).alias("_order")
+    rows = materialize(
+        docs.select(
+            F.col(doc_id).alias("id"), (word_length() if length is None else length).alias("n_tokens"), F.md5(name).alias("order")
+        ),
+        "pack-rows",
     )
     histogram = sorted(
         (r["bin"], r["n"]) for r in rows.groupBy(padded(F.col("n_tokens"), pad_to).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     )
     edges = best_boundaries([b for b, _ in histogram], [n for _, n in histogram], buckets) or [pad_to]
     bucket = sum(((F.col("n_tokens") > e).cast("int") for e in edges[:-1]), F.lit(0))
-    cells = cells_for(sum(n for _, n in histogram), rows_per_cell)
-    rows = rows.withColumn("bucket", bucket).withColumn(
-        "_cell", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * cells / F.lit(2**32))
-    )
-    ranked = gapless_rank(rows, ["bucket"], "_cell", ["_order", doc_id, "n_tokens"], "_slot")
+    ranked = gapless_rank(rows.withColumn("bucket", bucket), ["bucket"], ["order", "id", "n_tokens"], "slot", rows_per_cell)
     ends = F.array(*(F.lit(e).cast("long") for e in edges))
     ranked = ranked.withColumn("bucket_len", F.element_at(ends, F.col("bucket") + 1))
     held = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
-    return ranked.select(
-        doc_id,
-        "n_tokens",
-        "bucket",
-        "bucket_len",
-        F.floor(F.col("_slot") / held).cast("long").alias("batch"),
-        (F.col("_slot") % held).cast("long").alias("place"),
-        (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+    return finish(
+        ranked.select(
+            F.col("id").alias(doc_id),
+            "n_tokens",
+            "bucket",
+            "bucket_len",
+            F.floor(F.col("slot") / held).cast("long").alias("batch"),
+            (F.col("slot") % held).cast("long").alias("place"),
+            (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        ),
+        "packed",
+        mark,
     )

@@ -2,7 +2,7 @@
 
 The score of (key, shard) depends on nothing else, so a shard added to the list
 only ever takes records into itself, and one removed only gives its own away.
-All of it is column arithmetic; the single shuffle is that of the numbering.
+All of it is column arithmetic on one pass over the texts; the numbering shuffles light rows.
 
 Edge cases: a null key counts as the empty key; a null text has no bytes and the
 checksum of the empty text; rows with the same key share a shard and each still
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import cells_for, gapless_rank
+from dateloom.llm.common import finish, gapless_rank, materialize, scratch_mark
 
 #: Rows that one task of the numbering sorts.
 ROWS_PER_CELL = 50_000
@@ -58,18 +58,19 @@ def assign_shards(
     Slots follow the key's MD5 (a shuffled order that does not depend on the
     file layout), then the key, checksum and size.
     """
+    mark = scratch_mark()
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    cells = cells_for(docs.count(), rows_per_cell)
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         rendezvous(name, weights).alias("shard"),
         (rendezvous(name, grown_weights) if grown_weights else F.lit(None).cast("int")).alias("grown_shard"),
-        F.md5(name).alias("_order"),
-        F.floor(unit_hash(name) * cells).alias("_cell"),
+        F.md5(name).alias("order"),
     )
-    ranked = gapless_rank(rows, ["shard"], "_cell", ["_order", key, "text_crc32", "size"], "slot")
-    return ranked.select(
-        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    ranked = gapless_rank(materialize(rows, "shard-rows"), ["shard"], ["order", "key", "text_crc32", "size"], "slot", rows_per_cell)
+    return finish(
+        ranked.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"),
+        "shards",
+        mark,
     )
