@@ -11,7 +11,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from dateloom.llm.exact_dedup import build_index, exact_duplicates
+from dateloom.llm import exact_dedup
+from dateloom.llm.exact_dedup import exact_duplicates, grow_directory
 from dateloom.llm.licenses import TEMPLATES, anchor_words, scan_licences, template_pairs
 from dateloom.llm.packing import best_boundaries, pack
 from dateloom.llm.pii import pseudonymize, redraw
@@ -42,10 +43,10 @@ def brute_groups(rows):
     return {(i, hashlib.sha256(n.encode()).hexdigest()): (min((x for x in ids if x is not None), default=None), len(ids)) for n, ids in groups.items() for i in ids}
 
 
-@pytest.mark.parametrize(("capacity", "bits"), [(65_536, 64), (2, 64), (1, 3), (1, 1)])
-def test_exact_duplicates_equal_brute_force(spark, capacity, bits):
-    """Also with overfull buckets that split, and with so few key bits that chains hold several texts."""
-    found = exact_duplicates(documents(spark), capacity=capacity, key_bits=bits).collect()
+@pytest.mark.parametrize(("capacity", "bits", "piece"), [(65_536, 64, 50_000), (2, 64, 50_000), (1, 3, 2), (1, 1, 1), (1, 64, 1)])
+def test_exact_duplicates_equal_brute_force(spark, capacity, bits, piece):
+    """Also with overfull buckets that split, with so few key bits that chains hold several texts, and with keys cut into pieces."""
+    found = exact_duplicates(documents(spark), capacity=capacity, key_bits=bits, piece_rows=piece, owner_rows=2).collect()
     wanted = brute_groups(PLAIN)
     assert len(found) == len(PLAIN)
     for r in found:
@@ -54,12 +55,32 @@ def test_exact_duplicates_equal_brute_force(spark, capacity, bits):
     assert sum(r.kept for r in found) == len({r.text_sha256 for r in found})
 
 
+def test_rows_without_id_stay_last(spark):
+    rows = [(None, "one text", "en", "s")] * 5 + [(7, "one  text", "en", "s")] * 5 + [(None, "two", "en", "s")] * 3
+    found = exact_duplicates(documents(spark, rows), piece_rows=2).collect()
+    assert sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in found if r.kept) == [(0, None, 3), (7, 7, 10)]
+
+
 def test_directory_splits_only_overfull_buckets(spark):
-    docs = documents(spark, [(i, f"text {i}", "en", "s") for i in range(200)])
-    pages = build_index(docs, "doc_id", "text", capacity=16)
-    sizes = {r.bucket: (r.n, r.d) for r in pages.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("d")).collect()}
-    assert all(n <= 16 for n, _ in sizes.values()) and sum(n for n, _ in sizes.values()) == 200
-    assert len({d for _, d in sizes.values()}) > 1
+    keys = spark.range(200).select(F.xxhash64("id").alias("key"))
+    directory = grow_directory(keys, 16, 12)
+    found = keys.join(directory, F.shiftrightunsigned("key", 52) == F.col("cell")).groupBy("bucket", "depth").count().collect()
+    assert all(r["count"] <= 16 for r in found) and sum(r["count"] for r in found) == 200
+    assert len({r.depth for r in found}) > 1 and len({r.bucket for r in found}) == len(found)
+
+
+def test_the_directory_decides(spark, monkeypatch):
+    """Rows of a cell that the directory lacks have no entry."""
+    docs = documents(spark, [(i, f"text {i % 50}", "en", "s") for i in range(200)])
+    whole = exact_duplicates(docs, capacity=4).collect()
+    grow = exact_dedup.grow_directory
+
+    def without_a_cell(*a):
+        found = grow(*a)
+        return found.where(F.col("cell") != found.agg(F.min("cell")).first()[0])
+
+    monkeypatch.setattr(exact_dedup, "grow_directory", without_a_cell)
+    assert len(exact_duplicates(docs, capacity=4).collect()) < len(whole) == 200
 
 
 def test_shards_are_gapless_and_growth_moves_only_into_the_new_one(spark):
@@ -75,6 +96,21 @@ def test_shards_are_gapless_and_growth_moves_only_into_the_new_one(spark):
     assert 3_000 / 9 * 0.7 < moved < 3_000 / 9 * 1.3
 
 
+@pytest.mark.parametrize("kind", ["null", "repeated", "both"])
+def test_repeated_ids_are_numbered_in_many_cells(spark, kind):
+    """A third and more of the rows share one id; the order stays that of hash, id, checksum and size."""
+    one = {"null": [None], "repeated": [5], "both": [None, 5]}[kind]
+    rows = [(i, f"t{i}", "en", "s") for i in range(600)] + [(one[i % len(one)], f"x{i % 7}", "en", "s") for i in range(900)]
+    found = assign_shards(documents(spark, rows).repartition(6), [1.0] * 3, rows_per_cell=50).collect()
+    for shard in range(3):
+        mine = sorted((r for r in found if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        order = [(hashlib.md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest(), r.text_crc32, r["size"]) for r in mine]
+        assert order == sorted(order)
+    packed = pack(documents(spark, rows).repartition(6), rows_per_cell=50).collect()
+    assert len({(r.bucket, r.batch, r.place) for r in packed}) == len(rows) == len(found)
+
+
 def test_weights_share_rows(spark):
     docs = documents(spark, [(i, "x", "en", "s") for i in range(4_000)])
     n = Counter(r.shard for r in assign_shards(docs, [1.0, 3.0]).collect())
