@@ -13,12 +13,15 @@ therefore gets
 Keys meet in a shuffle; every meeting is verified on the whole fingerprint. In a
 key's group only a spanning forest of the links is kept: a large group is searched
 breadth-first against the fingerprints not yet reached, and each task drops links
-inside what it has already connected. Components of the links follow by star
-contraction. Equal fingerprints are one from the start, so copies cost nothing.
+inside what it has already connected; a group of more than ``GROUP_ROWS`` rows is cut
+into blocks, and each pair of blocks is a task's own. Components of the links between
+fingerprints follow by star contraction, and the smallest id of each comes last. Equal
+fingerprints are one from the start, so copies cost nothing.
 
 Edge cases: a null, empty or wordless text has fingerprint 0 and links as any
-other; texts shorter than a shingle are one shingle; equal ids share a component;
-an empty table gives an empty result; other columns are ignored.
+other; texts shorter than a shingle are one shingle; equal ids each get their row; a
+null id links as any other and is never a component's smallest, unless all its ids are
+null (``component_id`` is null there); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import bound_batches, materialize
+from dateloom.llm.common import bound_batches, finish, materialize, scratch_mark
 from dateloom.llm.components import components
 from dateloom.llm.golay import nearby, nearest
 
@@ -41,6 +44,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Groups up to this size are compared position by position, larger ones breadth-first.
 SMALL_GROUP = 24
+#: Rows of a key that one task compares, and fingerprints whose keys one task makes.
+GROUP_ROWS, PRINTS_A_TASK = 500_000, 20_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Roles in a group, in the low bits of a key: A meets A and B, and so does no other.
@@ -165,30 +170,74 @@ class Linker:
             yield from self.fresh(prints[hit], prints[hit + step])
 
 
-def link_rows(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links from a partition of (key, print) rows sorted by key; a group may span batches."""
-    linker = Linker(distance)
-    keys, prints = np.empty(0, np.int64), np.empty(0, np.int64)
+LINKS = "a long, b long, key long, print long, block int"
+
 
-    def batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def link_rows(rows: Iterator[pa.RecordBatch], distance: int, group_rows: int = GROUP_ROWS) -> Iterator[pa.RecordBatch]:
+    """Links from a partition of (key, print) rows sorted by key; a group may span batches.
+
+    Of a group with more than ``group_rows`` rows nothing is compared here: its rows come
+    out again (key, print, block), in blocks of ``group_rows``.
+    """
+    linker = Linker(distance)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    group, block, size = None, 0, 0
+
+    def links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        found = list(linker.sorted_rows(keys, prints))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return table(pa.array(a, pa.int64()), pa.array(b, pa.int64()), None, None, None)
+
+    def table(*columns: pa.Array | None) -> pa.RecordBatch:
+        n = max(len(c) for c in columns if c is not None)
+        types = [pa.int64()] * 4 + [pa.int32()]
+        filled = [pa.nulls(n, t) if c is None else c for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays(filled, ["a", "b", "key", "print", "block"])
+
+    def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+        """Let out whole blocks of the group held, and what is left of it if it is the ``last`` call."""
+        nonlocal held, block, size
+        if not held:
+            return
+        keys, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+        while len(keys) >= group_rows or (last and len(keys)):
+            n = min(group_rows, len(keys))
+            yield table(None, None, pa.array(keys[:n]), pa.array(prints[:n]), pa.array(np.full(n, block, np.int32)))
+            keys, prints, block = keys[n:], prints[n:], block + 1
+        held, size = ([(keys, prints)] if len(keys) else []), len(keys)
 
     for more in rows:
-        keys = np.concatenate([keys, more.column(0).to_numpy()])
-        prints = np.concatenate([prints, more.column(1).to_numpy()])
-        whole = int(np.searchsorted(keys >> 1, keys[-1] >> 1)) if len(keys) else 0
-        if whole:
-            yield batch(list(linker.sorted_rows(keys[:whole], prints[:whole])))
-            keys, prints = keys[whole:], prints[whole:]
-    if len(keys):
-        yield batch(list(linker.sorted_rows(keys, prints)))
-
-
-def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column ``print``) at ``distance`` or less, directly or in steps."""
-    if distance != DISTANCE:
-        raise ValueError("the segments are laid out for 4 differing bits")
+        keys, prints = more.column(0).to_numpy(), more.column(1).to_numpy()
+        while len(keys):
+            if group is None:
+                group = keys[0] >> 1
+            own = int(np.searchsorted(keys >> 1, group, side="right"))
+            if own:
+                held.append((keys[:own], prints[:own]))
+                size += own
+                keys, prints = keys[own:], prints[own:]
+                if size > group_rows:
+                    yield from blocks(last=False)
+            if len(keys):  # the group held is complete
+                if block:
+                    yield from blocks(last=True)
+                elif held:
+                    yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, block, size, group = [], 0, 0, None
+                edges = np.flatnonzero(np.diff(keys >> 1)) + 1
+                whole = int(edges[-1]) if len(edges) else 0
+                cut = np.concatenate([[0], edges])
+                if whole and np.diff(cut).max() <= group_rows:  # all groups but the last one, at once
+                    yield links(keys[:whole], prints[:whole])
+                    keys, prints = keys[whole:], prints[whole:]
+    if block:
+        yield from blocks(last=True)
+    elif held:
+        yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def key_rows(prints: DataFrame) -> DataFrame:
+    """(key, print) rows of all keys, made in as many tasks as there are ``PRINTS_A_TASK`` fingerprints."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,32 +246,63 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 key, own = golay_keys(column[lo : lo + 2_000])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "print"])
 
-    rows = (
-        prints.select("print")
-        .mapInArrow(keys, "key long, print long")
-        .repartition(F.shiftright("key", 1))
+    tasks = -(-prints.count() // PRINTS_A_TASK) or 1
+    return prints.select("print").repartition(tasks).mapInArrow(keys, "key long, print long").repartition(
+        max(tasks, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.shiftright("key", 1)
+    )
+
+
+def near_links(prints: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (column ``print``) at ``distance`` or less, directly or in steps.
+
+    Groups of more than ``group_rows`` rows go on in blocks, each pair of blocks in a task of its own.
+    """
+    if distance != DISTANCE:
+        raise ValueError("the segments are laid out for 4 differing bits")
+    found = materialize(
+        key_rows(prints).sortWithinPartitions("key").mapInArrow(lambda rows: link_rows(rows, distance, group_rows), LINKS), "key-links"
+    )
+    links = found.where(F.col("a").isNotNull()).select("a", "b")
+    large = found.where(F.col("key").isNotNull()).select("key", "print", "block")
+    if not large.take(1):
+        return links
+    blocks = large.groupBy(F.shiftright("key", 1).alias("group")).agg((F.max("block") + 1).alias("blocks"))
+    large = large.withColumn("group", F.shiftright("key", 1)).join(F.broadcast(blocks), "group")  # rows / group_rows groups at most
+    other = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select(
+        # A pair of blocks is a group by itself: its number stands in the place of the key.
+        F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "key", "print"
+    )
+    paired = pairs.select(
+        F.bitwise_not(F.lit(1).cast("long")).bitwiseAND(F.col("pair")).bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("key"), "print"
+    )
+    more = (
+        paired.repartition(F.shiftright("key", 1))
         .sortWithinPartitions("key")
+        .mapInArrow(lambda rows: link_rows(rows, distance, 2**62), LINKS)
+        .select("a", "b")
     )
-    return rows.mapInArrow(lambda batches: link_rows(batches, distance), "a long, b long")
+    return links.unionByName(materialize(more, "block-links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its fingerprint (16 hex digits) and the smallest id that links reach from it."""
     bound_batches(docs.sparkSession)
+    mark = scratch_mark()
     marked = materialize(
         docs.select(F.col(doc_id).alias("id"), fingerprint(F.col(text)).alias("print")), "fingerprints"
     )
     prints = materialize(marked.groupBy("print").agg(F.min("id").alias("head")), "distinct-prints")
-    links = materialize(near_links(prints), "near-links")
-    heads = (
-        links.join(prints.select(F.col("print").alias("a"), F.col("head").alias("head_a")), "a")
-        .join(prints.select(F.col("print").alias("b"), F.col("head").alias("head_b")), "b")
-        .select("head_a", "head_b")
-    )
-    roots = components(heads, "head_a", "head_b").select(F.col("node").alias("head"), "root")
-    labels = prints.join(roots, "head", "left").select("print", F.coalesce("root", "head").alias("component_id"))
-    return marked.join(labels, "print").select(
-        F.col("id").alias(doc_id),
-        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        "component_id",
+    roots = components(near_links(prints), "a", "b").select(F.col("node").alias("print"), "root")
+    rooted = materialize(prints.join(roots, "print", "left").select("print", "head", F.coalesce("root", "print").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
+    labels = materialize(rooted.join(least, "root").select("print", "component_id"), "labels")
+    return finish(
+        marked.join(labels, "print").select(
+            F.col("id").alias(doc_id),
+            F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+            "component_id",
+        ),
+        "near-duplicates",
+        mark,
     )
