@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from dateloom.llm import golay, suffix_tree
 from dateloom.llm.decontamination import Windows, character_spans, contamination_report, find_contamination, original_spans, words_of
 from dateloom.llm.language_id import LanguageCode, codewords, feature_counts, identify
-from dateloom.llm.simhash import Linker, golay_keys, link_rows, near_duplicates, text_fingerprint
+from dateloom.llm.components import components as star_components
+from dateloom.llm.simhash import Linker, golay_keys, link_rows, near_duplicates, near_links, text_fingerprint
 from dateloom.llm.suffix_tree import score_documents
 from dateloom.llm.token_files import PieceEncoder, encoder, read_token_files, token_ids, write_token_files
 from tests.llm.fixtures import PLAIN, clashing, documents, empty
@@ -208,22 +209,59 @@ def components(prints, links):
     return sorted(map(sorted, groups.values()))
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_links_join_what_brute_force_joins(monkeypatch, small):
-    monkeypatch.setattr("dateloom.llm.simhash.SMALL_GROUP", small)
+def planted_prints():
     rng = np.random.default_rng(3)
     prints = [rng.integers(-(2**63), 2**63 - 1, 150, dtype=np.int64)]
     for _ in range(7):
         prints.append(prints[-1] ^ (np.int64(1) << rng.integers(0, 63, 150)))
-    prints = np.unique(np.concatenate(prints))
+    return np.unique(np.concatenate(prints))
+
+
+def true_links(prints):
+    near = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64)) <= 4
+    return [(prints[i], prints[j]) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+
+
+@pytest.mark.parametrize("small", [24, 2])
+def test_links_join_what_brute_force_joins(monkeypatch, small):
+    monkeypatch.setattr("dateloom.llm.simhash.SMALL_GROUP", small)
+    prints = planted_prints()
     key, own = golay_keys(prints)
     order = np.argsort(key, kind="stable")
     key, own = key[order], own[order]
     batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 500]), pa.array(own[i : i + 500])], ["key", "print"]) for i in range(0, len(key), 500)]
-    links = [x for b in link_rows(iter(batches), 4) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    near = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64)) <= 4
-    truth = [(prints[i], prints[j]) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
-    assert components(prints, links) == components(prints, truth) and len(links) < len(prints)
+    links = [x for b in link_rows(iter(batches), 4) for x in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True)]
+    assert components(prints, links) == components(prints, true_links(prints)) and len(links) < len(prints)
+
+
+def test_blocks_of_large_groups_join_what_brute_force_joins(spark):
+    """Groups of more than five rows, compared block by block."""
+    prints = planted_prints()
+    table = spark.createDataFrame([(int(p),) for p in prints], "print long")
+    links = [(r.a, r.b) for r in near_links(table, group_rows=5).collect()]
+    assert components(prints, links) == components(prints, true_links(prints))
+
+
+@pytest.mark.parametrize("large", [10**6, 3])
+def test_components_equal_brute_force(spark, large):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))] + [(i % 2, i) for i in range(400, 440)]
+    found = star_components(spark.createDataFrame(links, "a long, b long"), "a", "b", large_node=large).collect()
+    groups = components({x for ab in links for x in ab if ab[0] != ab[1]}, [x for x in links if x[0] != x[1]])
+    assert {r.node: r.root for r in found} == {x: g[0] for g in groups for x in g}
+
+
+def test_a_document_without_id_links_its_neighbours(spark):
+    """Of three texts in a chain the middle one has no id; three without id are a component without one."""
+    texts, prints = ["a b c d e f g"], []
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words), " ".join(["x", *words[1:]]), " ".join(["x", "y", *words[2:]])]
+    prints = [text_fingerprint(t) for t in chain]
+    rows = [(1, chain[0], "en", "s"), (None, chain[1], "en", "s"), (3, chain[2], "en", "s")]
+    found = near_duplicates(documents(spark, rows + [(None, t, "en", "s") for t in texts * 2])).collect()
+    near = [(a ^ b).bit_count() <= 4 for a, b in ((prints[0], prints[1]), (prints[1], prints[2]))]
+    assert all(near)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 0), (0, 1), (1, 1), (3, 1)]
 
 
 def test_linker_keeps_a_forest():
