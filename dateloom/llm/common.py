@@ -11,6 +11,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is written and evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone, so that every engine agrees on the result."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import text_or_empty
+from dateloom.llm.common import let, text_or_empty
 
 LEAST = 0.8
 
@@ -207,11 +207,6 @@ def matching_units(text: Column, templates: Sequence[tuple[str, str]] = TEMPLATE
     return F.filter(F.transform(near, best), lambda s: s.isNotNull())
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def placed_words(text: Column) -> Column:
     """array<struct(w, k, m)> of a folded text: each word, its place in its line and the line's words."""
     lines = F.transform(F.split(text, r"\n"), lambda u: F.split(F.trim(F.regexp_replace(u, " +", " ")), " "))

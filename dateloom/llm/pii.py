@@ -6,31 +6,47 @@ name). Each becomes one unit or, for names, one unit a word; a unit's surrogate
 is drawn from the SHA-512 of (key, type, canonical form, attempt), so the same
 person or number reads alike in every document and every spelling. Names keep
 script and gender, numbers keep their grouping, first digit and check digit,
-addresses their shape, letters their case and script.
+addresses their shape, letters their case and script. A person named with a title
+once is replaced where the same two names stand without it in that text.
+
+A unit is its type and canonical form. The gender of a given name is no part of it:
+it is the one the fixed list gives, else the one of all titles the name stands with
+anywhere, or neither where they differ, so "Mr. Alex" and "Dr. Alex" are one unit.
 
 Distinct units must stay distinct: the table of units is searched for surrogates
-drawn twice, or equal to a real unit of the type, and those units draw again until
-none is left. Only the few redrawn units have to be looked up again; every other
+drawn twice by units of one type, or equal to a real unit of it, and those units draw
+again until none is left. Redrawn names are made of ever more syllables of their
+script, and after ``FORMAT_ATTEMPTS`` redraws a number or address grows by a digit
+with each, so there is a free surrogate for any number of units. Only redrawn units
+and given names whose gender is known from titles have to be looked up again; every other
 surrogate is computed where the text is. All of it is DataFrame operations.
 
 Edge cases: null texts stay null and empty ones empty; digits that fail their
-checksum, or are no address, stay as they are; equal ids share redrawn units;
-repeated rows each get their text; an empty table gives an empty result; other
-columns pass through ``pseudonymize`` untouched.
+checksum, or are no address, stay as they are; ids play no part, so null and repeated
+ones are as any other; repeated rows each get their text; an empty table gives an
+empty result; other columns pass through ``pseudonymize`` untouched, but for an
+older ``n_entities``, which is replaced.
 """
 
 from __future__ import annotations
 
-from itertools import count
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import materialize, text_or_empty
-
-KEY = "dateloom surrogate key 1"
-#: Redraws after which a number, address or secret still without a free surrogate ends the job: its format has too few.
-MAX_ATTEMPTS = 60
+from dateloom.llm.common import fresh, let, materialize, text_or_empty
+
+#: Session setting that names the secret key of the surrogates.
+KEY_SETTING = "dateloom.surrogate.key"
+#: Redraws that keep a number's, address's or secret's format to the digit; each later one adds a digit.
+FORMAT_ATTEMPTS = 24
+#: Consonants and vowels of the syllables of redrawn names, and their endings by gender.
+SYLLABLES: dict[str, tuple[str, str, dict[str, str]]] = {
+    "latin": ("bdfgklmnprstvz", "aeiou", {"f": "na", "m": "rd", "n": "l"}),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"f": "на", "m": "рд", "n": "ль"}),
+    "greek": ("βγδζκλμνπρστφ", "αεηιο", {"f": "να", "m": "νος", "n": "λι"}),
+}
 
 #: Given and family names by script; genders f, m. Fixed values.
 GIVEN: dict[str, list[str]] = {
@@ -85,6 +101,17 @@ SIGNAL = (
     r"[0-9@]|AKIA|(?:sk|ghp|gho|xoxb|xoxp)[_\-]|(?:password|passwd|secret|api_key|apikey|token)[=:]|[a-f]{32}"
     rf"|{_INITIALS}(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"
 )
+#: Stands around each match in a marked text; texts that hold it themselves are searched twice instead.
+MARK = "\x01"
+
+
+def pieces_of(text: Column) -> Column:
+    """A text as [gap, match, gap, match, ..., gap]: the pattern runs over it once. Null where nothing is found."""
+    marked = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    gaps, matches = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    woven = F.flatten(F.zip_with(gaps, matches, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
+    found = F.when(F.contains(text, F.lit(MARK)), woven).otherwise(marked)
+    return F.when(text.rlike(SIGNAL), F.get(F.transform(F.array(found), lambda p: F.when(F.size(p) > 1, p)), 0))
 
 
 def matches_in(text: Column) -> Column:
@@ -146,14 +173,20 @@ def name_words(e: Column) -> Column:
     return F.split(F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", ""), " ")
 
 
-def gender_of(e: Column) -> Column:
-    """By title, else by given name, else n."""
-    title, first = F.regexp_extract(e, rf"^({_TITLE})\.? ", 1), F.get(name_words(e), 0)
-    women = [n for k, ns in GIVEN.items() if k.endswith("_f") for n in ns]
-    men = [n for k, ns in GIVEN.items() if k.endswith("_m") for n in ns]
-    return (
-        F.when(title.isin(TITLES["f"]) | first.isin(women), "f").when(title.isin(TITLES["m"]) | first.isin(men), "m").otherwise("n")
-    )
+WOMEN = sorted(n for k, ns in GIVEN.items() if k.endswith("_f") for n in ns)
+MEN = sorted(n for k, ns in GIVEN.items() if k.endswith("_m") for n in ns)
+
+
+def listed_gender(canon: Column) -> Column:
+    """The gender that the list of given names says; null for other names."""
+    women, men = ([n.lower() for n in names] for names in (WOMEN, MEN))
+    return F.when(canon.isin(women), "f").when(canon.isin(men), "m")
+
+
+def title_gender(e: Column) -> Column:
+    """The gender of a match's title; null without one, or with one of either gender."""
+    title = F.regexp_extract(e, rf"^({_TITLE})\.? ", 1)
+    return F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m")
 
 
 UNIT = "struct<kind:string,canon:string>"
@@ -167,7 +200,7 @@ def units_of(e: Column) -> Column:
     """The units of one match: given and family name of a person, else the match itself; none for ``none``."""
     kind, words = entity_type(e), name_words(e)
     script = script_of(F.get(words, 0))
-    given = unit(F.concat(F.lit("given_"), script, F.lit("_"), gender_of(e)), F.lower(F.get(words, 0)))
+    given = unit(F.concat(F.lit("given_"), script), F.lower(F.get(words, 0)))
     family = unit(F.concat(F.lit("family_"), script), F.lower(F.get(words, F.size(words) - 1)))
     none = F.array().cast(f"array<{UNIT}>")
     return (
@@ -182,15 +215,34 @@ def stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512)
 
 
-def pick(names: list[str], drawn: Column, at: int) -> Column:
-    share = F.conv(F.substring(drawn, at, 8), 16, 10).cast("long") % len(names)
-    return F.element_at(F.array(*map(F.lit, names)), (share + 1).cast("int"))
+def by_name(rows: dict[str, str], name: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in rows.items() for x in pair)), name)
+
+
+#: Names to draw from, and endings, by kind and gender; letters of syllables by script.
+DRAWN_NAMES = {f"family_{s}|{g}": " ".join(names) for s, names in FAMILY.items() for g in "fmn"}
+DRAWN_NAMES |= {f"given_{s}|{g}": " ".join(n for x in ("fm" if g == "n" else g) for n in GIVEN[f"{s}_{x}"]) for s in FAMILY for g in "fmn"}
+CONSONANTS, VOWELS = {s: c for s, (c, _, _) in SYLLABLES.items()}, {s: v for s, (_, v, _) in SYLLABLES.items()}
+ENDINGS = {f"{s}|{g}": end for s, (_, _, ends) in SYLLABLES.items() for g, end in ends.items()}
+
+
+def drawn_number(drawn: Column, at: Column | int, below: Column) -> Column:
+    return F.conv(F.substr(drawn, F.lit(at) if isinstance(at, int) else at, F.lit(6)), 16, 10).cast("int") % below
 
 
-def drawn_name(names: list[str], drawn: Column, attempt: Column) -> Column:
-    """One name at first, and one more joined by a hyphen with each redraw, so that there are names for any number of units."""
-    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: pick(names, F.substr(drawn, i % 16 * 8 + 1, F.lit(8)), 1))
-    return F.concat(pick(names, drawn, 1), F.when(attempt > 0, F.concat(F.lit("-"), F.array_join(more, "-"))).otherwise(""))
+def drawn_name(kind: Column, gender: Column, drawn: Column, attempt: Column) -> Column:
+    """A name of the list at first; with each redraw one of a syllable more, ending by gender."""
+    script = F.substring_index(kind, "_", -1)
+
+    def syllable(i: Column) -> Column:
+        one = lambda letters, at: F.substr(letters, drawn_number(drawn, at, F.length(letters)) + 1, F.lit(1))
+        return F.concat(one(by_name(CONSONANTS, script), i * 12 % 120 + 1), one(by_name(VOWELS, script), i * 12 % 120 + 7))
+
+    made = F.concat(
+        F.array_join(F.transform(F.sequence(F.lit(1), attempt + 2), syllable), ""), by_name(ENDINGS, F.concat(script, F.lit("|"), gender))
+    )
+    listed = F.split(by_name(DRAWN_NAMES, F.concat(kind, F.lit("|"), gender)), " ")
+    return F.when(attempt == 0, let(listed, lambda names: F.get(names, drawn_number(drawn, 1, F.size(names))))).otherwise(F.initcap(made))
 
 
 def decimal(drawn: Column) -> Column:
@@ -222,56 +274,70 @@ def checked(body: Column) -> Column:
     return F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a unit in canonical form."""
-    drawn = stream(kind, canon, attempt, key)
+def surrogate(kind: Column, canon: Column, attempt: Column, gender: Column, key: str) -> Column:
+    """The surrogate of a unit in canonical form. ``gender`` counts for given names alone."""
+    return let(stream(kind, canon, attempt, key), lambda drawn: surrogate_of(kind, canon, attempt, gender, drawn))
+
+
+def surrogate_of(kind: Column, canon: Column, attempt: Column, gender: Column, drawn: Column) -> Column:
     size = F.length(canon)
     numbers = F.substr(decimal(drawn), F.lit(1), size)
     same_first = F.concat(F.substring(canon, 1, 1), F.substr(numbers, F.lit(2), size))
     octet = lambda at: (F.conv(F.substring(drawn, at, 4), 16, 10).cast("int") % 254 + 1).cast("string")
-    local, host = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    ending = F.regexp_extract(host, r"\.(com|org|net)$", 1)
-    address = F.concat(
-        drawn_characters(F.concat(local, F.lit("@"), F.substring_index(host, ".", 1)), drawn),
-        F.lit(".example."),
-        F.when(ending == "", "org").otherwise(ending),
+    # What is drawn letter by letter, after a part that stays: the ending of an address is added behind.
+    stays = F.when(kind == "iban", 2).when((kind == "secret") & canon.rlike("^AKIA"), 4).otherwise(0)
+    host = F.substring_index(canon, "@", -1)
+    spelled = F.when(kind == "mail", F.concat(F.substring_index(canon, "@", 1), F.lit("@"), F.substring_index(host, ".", 1))).otherwise(
+        F.substr(canon, stays + 1)
     )
-    hexadecimal = F.substr(F.repeat(drawn, 1 + 4), F.lit(1), size)
+    ending = let(F.regexp_extract(host, r"\.(com|org|net)$", 1), lambda x: F.concat(F.lit(".example."), F.when(x == "", "org").otherwise(x)))
+    letters = F.concat(F.substr(canon, F.lit(1), stays), drawn_characters(spelled, drawn), F.when(kind == "mail", ending).otherwise(""))
     value = (
-        F.when(kind == "mail", address)
+        F.when(kind.rlike("^(given|family)_"), drawn_name(kind, gender, drawn, attempt))
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)))
         .when(kind == "card", checked(F.substr(same_first, F.lit(1), size - 1)))
         .when(kind.isin("phone", "ssn"), same_first)
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), drawn_characters(F.substr(canon, F.lit(3)), drawn)))
-        .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.when(size <= 640, hexadecimal).otherwise(drawn_characters(canon, drawn)))
-        .when((kind == "secret") & canon.rlike("^AKIA"), F.concat(F.lit("AKIA"), drawn_characters(F.substr(canon, F.lit(5)), drawn)))
+        .when((kind == "secret") & canon.rlike("^[0-9a-f]{1,640}$"), F.substr(F.repeat(drawn, 5), F.lit(1), size))
+        .otherwise(letters)
     )
-    for name, names in FAMILY.items():
-        value = value.when(kind == f"family_{name}", drawn_name(names, drawn, attempt))
-    for script in FAMILY:
-        women, men = GIVEN[f"{script}_f"], GIVEN[f"{script}_m"]
-        for gender, names in (("f", women), ("m", men), ("n", women + men)):
-            value = value.when(kind == f"given_{script}_{gender}", drawn_name(names, drawn, attempt))
-    return value.otherwise(drawn_characters(canon, drawn))
+    more = F.substr(decimal(drawn), F.lit(1), attempt - FORMAT_ATTEMPTS)
+    grown = lambda x: F.when(kind == "mail", F.concat(more, x)).otherwise(F.concat(x, more))
+    as_it_is = (attempt <= FORMAT_ATTEMPTS) | kind.rlike("^(given|family)_")
+    return let(value, lambda x: F.when(as_it_is, x).otherwise(grown(x)))
 
 
 def in_format(e: Column, drawn: Column, kept: str) -> Column:
-    """The characters of ``drawn`` in place of those of ``e``, except those of the class ``kept``, which stay."""
+    """The characters of ``drawn`` in place of those of ``e``, except those of the class ``kept``, which stay; what is left of it last."""
     seen = lambda i: F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), kept, ""))
-    return F.array_join(
-        F.transform(characters(e), lambda c, i: F.when(c.rlike(kept), c).otherwise(F.substr(drawn, seen(i), F.lit(1)))), ""
-    )
+    swapped = F.transform(characters(e), lambda c, i: F.when(c.rlike(kept), c).otherwise(F.substr(drawn, seen(i), F.lit(1))))
+    return F.concat(F.array_join(swapped, ""), F.substr(drawn, F.length(F.regexp_replace(e, kept, "")) + 1))
+
+
+#: How an attempt and a gender stand in the map of looked-up units: attempt * 3 + the gender's place here.
+GENDERS = ("n", "f", "m")
+
 
+def unit_code(attempt: Column, gender: Column) -> Column:
+    return (attempt * 3 + F.when(gender == "f", 1).when(gender == "m", 2).otherwise(0)).cast("int")
 
-def replacement(e: Column, redrawn: Column, key: str) -> Column:
-    """What a match becomes. ``redrawn``: map of "kind|canon" to attempt for units that had to draw again."""
 
-    def of(u: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(redrawn, F.concat_ws("|", u["kind"], u["canon"])), F.lit(0))
-        return surrogate(u["kind"], u["canon"], attempt, key)
+def unit_surrogate(u: Column, looked_up: Column, key: str) -> Column:
+    """The surrogate of a unit. ``looked_up``: map of "kind|canon" to ``unit_code`` for units that need it."""
+
+    def with_code(code: Column) -> Column:
+        listed = F.coalesce(listed_gender(u["canon"]), F.lit("n"))
+        gender = F.when(code.isNull() | (code % 3 == 0), listed).when(code % 3 == 1, "f").otherwise("m")
+        return surrogate(u["kind"], u["canon"], F.coalesce(F.floor(code / 3), F.lit(0)).cast("int"), gender, key)
+
+    code = F.try_element_at(looked_up, F.concat_ws("|", u["kind"], u["canon"]))
+    return F.get(F.transform(F.array(code), with_code), 0)
+
+
+def replacement(e: Column, looked_up: Column, key: str) -> Column:
+    """What a match becomes."""
 
     def written(units: Column) -> Column:
-        values = F.transform(units, of)
+        values = F.transform(units, lambda u: unit_surrogate(u, looked_up, key))
         kind, first = F.get(units, 0)["kind"], F.get(values, 0)
         title = F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)
         return (
@@ -286,64 +352,108 @@ def replacement(e: Column, redrawn: Column, key: str) -> Column:
 
 
 def redraw(units: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt) of the units whose first surrogate was taken, with the first attempt that is free.
+    """(kind, canon, gender, attempt) of all units, with the first attempt whose surrogate is free.
 
     Of units that draw the same surrogate the first in order keeps it; a surrogate
-    equal to a real unit of its kind is free for nobody. Names are drawn until all
-    have one, as there are ever more; other formats are finite.
+    equal to a real unit of its kind is free for nobody. Units are drawn until all
+    have one, as there are ever more.
     """
-    state = units.select("kind", "canon", F.lit(0).alias("attempt"))
-    for done in count():
-        drawn = state.withColumn("value", F.lower(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
-        keeper = drawn.groupBy("kind", "value").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+    gender = F.coalesce("gender", F.lit("n"))
+    value = F.lower(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), gender, key)).alias("value")
+    state = materialize(units.select("kind", "canon", "gender", F.lit(0).alias("attempt")).select("*", value), "pii-attempts")
+    while True:
+        keeper = state.groupBy("kind", "value").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("keeper"), F.count(F.lit(1)).alias("n"))
         taken = keeper.where(F.col("n") > 1).select("kind", "value", "keeper")
-        real = state.select("kind", F.col("canon").alias("value")).withColumn("real", F.lit(True))
-        clash = (
-            drawn.join(taken, ["kind", "value"], "left")
-            .join(real, ["kind", "value"], "left")
-            .where((F.col("keeper") != F.col("canon")) | F.col("real"))
-            .select("kind", "canon", F.lit(1).alias("again"))
-        )
-        clash = materialize(clash, "pii-clashes")
-        if not clash.take(1):
-            return state.where(F.col("attempt") > 0)
-        if done >= MAX_ATTEMPTS and clash.where(~F.col("kind").rlike("^(given|family)_")).take(1):
-            raise RuntimeError("surrogates keep colliding: a format has too few for the units found")
-        state = materialize(
-            state.join(clash, ["kind", "canon"], "left").select(
-                "kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")
-            ),
-            "pii-attempts",
-        )
-
-
-def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with ``text`` rewritten and a column ``n_entities``: how many matches were replaced."""
+        real = state.select("kind", F.col("canon").alias("value"), F.lit(True).alias("real"))
+        marked = state.join(taken, ["kind", "value"], "left").join(real, ["kind", "value"], "left")
+        again = F.coalesce((F.col("keeper") != F.col("canon")) | F.col("real"), F.lit(False)).alias("again")
+        marked = materialize(marked.select("kind", "canon", "gender", "attempt", "value", again), "pii-marked")
+        if not marked.where("again").take(1):
+            return marked.select("kind", "canon", "gender", "attempt")
+        moved = marked.where("again").select("kind", "canon", "gender", (F.col("attempt") + 1).alias("attempt")).select("*", value)
+        state = materialize(marked.where(~F.col("again")).drop("again").unionByName(moved), "pii-attempts")
+
+
+def gendered_units(mentions: DataFrame) -> DataFrame:
+    """(kind, canon, gender, listed) of all units: a given name's gender is the listed one, else that of all its titles."""
+    found = mentions.groupBy("kind", "canon").agg(F.min("title").alias("least"), F.max("title").alias("most"))
+    given = F.col("kind").startswith("given_")
+    listed = F.when(given, listed_gender(F.col("canon")))
+    titled = F.when(given & (F.col("least") == F.col("most")), F.col("least"))
+    return found.select("kind", "canon", F.coalesce(listed, titled).alias("gender"), listed.alias("listed"))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key set for the session; where there is none, a random one that holds for the session."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def full_names(pieces: Column, new: Column) -> Column:
+    """array<struct(old, new)>: names of two words that stand with a title among the matches, and what became of them."""
+    titled = rf"^(?:{_TITLE})\.? {_WORD} {_WORD}$"
+    bare = lambda x: F.array_join(name_words(x), " ")
+    both = F.zip_with(pieces, new, lambda a, b: F.when(a.rlike(titled), F.struct(bare(a).alias("old"), bare(b).alias("new"))))
+    return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` rewritten and a column ``n_entities``: how many matches were replaced.
+
+    ``key`` is secret: who has it can tell which surrogate a known name has.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
+    whole = text_or_empty(text)
     mentions = materialize(
-        docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(matches_in(text_or_empty(text)))).alias("e"))
-        .select("_id", F.explode(units_of(F.col("e"))).alias("u"))
-        .select("_id", "u.kind", "u.canon")
+        docs.select(F.xxhash64(whole).alias("hash"), F.explode(F.array_distinct(matches_in(whole))).alias("e"))
+        .select("hash", title_gender(F.col("e")).alias("title"), F.explode(units_of(F.col("e"))).alias("u"))
+        .select("hash", "u.kind", "u.canon", F.when(F.col("u.kind").startswith("given_"), F.col("title")).alias("title"))
         .distinct(),
         "pii-mentions",
     )
-    units = materialize(mentions.select("kind", "canon").distinct(), "pii-units")
-    redrawn = materialize(redraw(units, key), "pii-redrawn")
+    units = materialize(gendered_units(mentions), "pii-units")
+    drawn = redraw(units.select("kind", "canon", "gender"), key)
+    special = drawn.join(units.select("kind", "canon", "listed"), ["kind", "canon"]).where(
+        (F.col("attempt") > 0) | ~F.col("gender").eqNullSafe(F.col("listed"))
+    )
+    special = materialize(special.select("kind", "canon", unit_code(F.col("attempt"), F.col("gender")).alias("code")), "pii-special")
+    # Equal texts have equal units, so the text's hash is the key, and a clash of two texts joins two small maps.
     maps = materialize(
-        mentions.join(redrawn, ["kind", "canon"])
-        .groupBy("_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_redrawn")),
-        "pii-by-document",
+        mentions.select("hash", "kind", "canon")
+        .distinct()
+        .join(special, ["kind", "canon"])
+        .groupBy("hash")
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "code"))).alias("map")),
+        "pii-by-text",
     )
+    hashed, looked_up, found, new, names = (fresh(docs, n) for n in ("_hash", "_looked_up", "_pieces", "_new", "_names"))
     none = F.create_map().cast("map<string,int>")
-    known = docs.join(maps, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn("_redrawn", F.coalesce("_redrawn", none))
-    split = known.withColumn("_e", matches_in(text_or_empty(text)))
-    replaced = split.withColumn("_s", F.transform("_e", lambda e: replacement(e, F.col("_redrawn"), key)))
-    parts = F.zip_with(
-        F.split(F.col(text), PATTERN, -1), "_s", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
+    known = docs.withColumn(hashed, F.xxhash64(whole)).join(
+        maps.select(F.col("hash").alias(f"{hashed}b"), F.col("map").alias(looked_up)), F.col(hashed) == F.col(f"{hashed}b"), "left"
     )
-    changed = F.filter(F.zip_with("_e", "_s", lambda a, b: a != b), lambda x: x)
+    known = known.withColumn(looked_up, F.coalesce(looked_up, none)).withColumn(found, pieces_of(whole))
+    at_match = lambda i: i % 2 == 1
+    changed = F.transform(found, lambda e, i: F.when(at_match(i), replacement(e, F.col(looked_up), key)).otherwise(e))
+    entities = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+
+    def without_title(gap: Column) -> Column:
+        """Bare mentions of the persons that have a title elsewhere in the text."""
+
+        def one(done: Column, name: Column) -> Column:
+            pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name["old"], F.lit(r"\E(?![\p{L}\p{N}])"))
+            return F.when(F.contains(done, name["old"]), F.regexp_replace(done, pattern, name["new"])).otherwise(done)
+
+        return F.aggregate(F.col(names), gap, one)
+
+    rebuilt = F.when(F.size(names) == 0, F.col(new)).otherwise(F.transform(new, lambda p, i: F.when(at_match(i), p).otherwise(without_title(p))))
     return (
-        replaced.withColumn(text, F.when(F.size("_e") > 0, F.array_join(parts, "")).otherwise(F.col(text)))
-        .withColumn("n_entities", F.coalesce(F.size(changed), F.lit(0)).cast("long"))
-        .drop("_id", "_redrawn", "_e", "_s")
+        known.withColumn(new, changed)
+        .withColumn(names, full_names(F.col(found), F.col(new)))
+        .withColumn("n_entities", F.coalesce(entities, F.lit(0)).cast("long"))
+        .withColumn(text, F.when(F.col(found).isNotNull(), F.array_join(rebuilt, "")).otherwise(F.col(text)))
+        .drop(hashed, f"{hashed}b", looked_up, found, new, names)
     )

@@ -12,7 +12,7 @@ from dateloom.llm.language_id import identify
 from dateloom.llm.licenses import oracle as licence_oracle
 from dateloom.llm.licenses import scan_licences
 from dateloom.llm.packing import pack
-from dateloom.llm.pii import pseudonymize
+from dateloom.llm.pii import pseudonymize, session_key
 from dateloom.llm.sharding import assign_shards
 from dateloom.llm.simhash import near_duplicates
 from dateloom.llm.suffix_tree import score_documents
@@ -48,7 +48,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
