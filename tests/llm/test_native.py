@@ -15,17 +15,21 @@ from dateloom.llm import exact_dedup
 from dateloom.llm.exact_dedup import exact_duplicates, grow_directory
 from dateloom.llm.licenses import TEMPLATES, anchor_words, scan_licences, template_pairs
 from dateloom.llm.packing import best_boundaries, pack
-from dateloom.llm.pii import pseudonymize, redraw
+from dateloom.llm.pii import GIVEN, pseudonymize, redraw, surrogate
 from dateloom.llm.sharding import assign_shards
 from tests.llm.fixtures import PLAIN, clashing, documents, empty
 
-NATIVE = ["exact_duplicates", "assign", "pack", "scan_licences", "pseudonymize"]
+NATIVE = ["exact_duplicates", "assign", "pack", "scan_licences", "hidden"]
 
 
 def assign(docs):
     return assign_shards(docs, [1.0] * 8, [1.0] * 9)
 
 
+def hidden(docs):
+    return pseudonymize(docs, "k")
+
+
 @pytest.mark.parametrize("name", NATIVE)
 def test_awkward_tables(spark, name):
     run = globals()[name]
@@ -176,7 +180,7 @@ def test_surrogates_keep_type_format_and_coreference(spark):
         (4, "Господин Иванов", "ru", "s"),
         (5, None, "en", "s"),
     ]
-    found = {r.doc_id: r for r in pseudonymize(documents(spark, rows)).collect()}
+    found = {r.doc_id: r for r in hidden(documents(spark, rows)).collect()}
     one, two, three = (found[i].text for i in (1, 2, 3))
     for secret in ("Smith", "743", "3824", "4785380592391139", "hein.19", "152.143", "24be64439e", "abc123ef", "AKIAABCD", "Иванов"):
         assert all(secret not in (r.text or "") for r in found.values())
@@ -190,24 +194,51 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert found[5].text is None and found[5].n_entities == 0
 
 
-def test_redrawn_units_are_distinct(spark):
-    """Far more family names than the list holds."""
-    units = spark.range(300).select(F.lit("family_latin").alias("kind"), F.concat(F.lit("n"), "id").alias("canon"))
-    from dateloom.llm.pii import surrogate
-
+def surrogates_of(units):
     again = redraw(units, "k")
-    drawn = units.join(again, ["kind", "canon"], "left").select(surrogate(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
-    assert drawn.distinct().count() == 300
+    return again.select("kind", "canon", "gender", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.coalesce("gender", F.lit("n")), "k").alias("s"))
 
 
-def test_names_never_run_out(spark):
-    """More units than three names of the list can tell apart (8 + 64 + 512)."""
-    units = spark.range(3000).select(F.lit("given_greek_f").alias("kind"), F.concat(F.lit("n"), "id").alias("canon"))
-    from dateloom.llm.pii import surrogate
+def test_fifty_thousand_names_are_distinct(spark):
+    """Far more names than the lists hold, of all genders of a script in one space, and none that is real."""
+    kind = F.element_at(F.array(F.lit("given_latin"), F.lit("family_latin"), F.lit("given_greek")), (F.col("id") % 3 + 1).cast("int"))
+    gender = F.element_at(F.array(F.lit("f"), F.lit("m"), F.lit("n")), (F.col("id") % 7 % 3 + 1).cast("int"))
+    units = spark.range(50_000).select(kind.alias("kind"), F.concat(F.lit("n"), "id").alias("canon"), gender.alias("gender"))
+    found = surrogates_of(units).agg(F.count(F.lit(1)), F.countDistinct("kind", F.lower("s"))).first()
+    assert tuple(found) == (50_000, 50_000)
 
-    again = redraw(units, "k")
-    drawn = units.join(again, ["kind", "canon"], "left").select(surrogate(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
-    assert drawn.distinct().count() == 3000
+
+def test_a_full_format_grows(spark, monkeypatch):
+    """All numbers of three digits with that first digit are real ones."""
+    monkeypatch.setattr("dateloom.llm.pii.FORMAT_ATTEMPTS", 1)
+    units = spark.range(100, 200).select(F.lit("phone").alias("kind"), F.col("id").cast("string").alias("canon"), F.lit(None).cast("string").alias("gender"))
+    found = [r.s for r in surrogates_of(units).collect()]
+    assert len(set(found)) == 100 and all(s[0] == "1" and int(s[:3]) and s not in map(str, range(100, 200)) for s in found)
+
+
+def test_one_person_has_one_name_of_one_gender(spark):
+    rows = [
+        (1, "Mr. Alex Smith met Dr. Alex Smith. Then Alex Smith left, not Alex Smithers.", "en", "s"),
+        (None, "Dr. Alex Jones wrote; Alex Jones signed.", "en", "s"),
+        (None, "Frau Kim Berger, Herr Kim Berger.", "de", "s"),
+        (2, "a\x01b Mr. Alex Smith \x01", "en", "s"),
+    ]
+    found = [r.text for r in hidden(documents(spark, rows)).orderBy("text").collect()]
+    one = next(t for t in found if t.startswith("Mr."))
+    given, family = re.match(r"Mr\. (\S+) (\S+) met", one).groups()
+    assert one == f"Mr. {given} {family} met Dr. {given} {family}. Then {given} {family} left, not Alex Smithers."
+    assert given in GIVEN["latin_m"] and f"a\x01b Mr. {given} {family} \x01" in found
+    two = next(t for t in found if "wrote" in t)
+    assert re.fullmatch(rf"Dr\. {given} (\S+) wrote; {given} \1 signed\.", two) and "Jones" not in two
+    assert re.fullmatch(r"Frau (\S+ \S+), Herr \1\.", next(t for t in found if t.startswith("Frau")))
+
+
+def test_other_columns_pass_and_a_key_is_needed(spark):
+    docs = clashing(spark).withColumns({n: F.lit(n) for n in ("_id", "_redrawn", "_s", "_pieces", "_hash", "hash", "map", "_names")})
+    out = hidden(docs)
+    assert out.columns == [*docs.columns, "n_entities"] and {r["_id"] + r["_s"] + r["_hash"] + r["hash"] for r in out.collect()} == {"_id_s_hashhash"}
+    with pytest.raises(ValueError, match="key"):
+        pseudonymize(docs, "")
 
 
 def test_notices_of_several_paragraphs_and_inside_lines_are_found(spark):
