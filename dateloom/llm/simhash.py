@@ -18,6 +18,9 @@ into blocks, and each pair of blocks is a task's own. Components of the links be
 fingerprints follow by star contraction, and the smallest id of each comes last. Equal
 fingerprints are one from the start, so copies cost nothing.
 
+``near_copies`` looks further: fingerprints of single words, which a few changed words
+move by a few bits, propose links, and shingles of the texts decide.
+
 Edge cases: a null, empty or wordless text has fingerprint 0 and links as any
 other; texts shorter than a shingle are one shingle; equal ids each get their row; a
 null id links as any other and is never a component's smallest, unless all its ids are
@@ -34,8 +37,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import bound_batches, finish, materialize, scratch_mark
+from dateloom.llm.common import ascii_lower, bound_batches, finish, materialize, scratch_mark, text_or_empty
 from dateloom.llm.components import components
+from dateloom.llm.exact_dedup import collapse_blanks
 from dateloom.llm.golay import nearby, nearest
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -110,48 +114,56 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Linker:
-    """Verified links within key groups, without those inside what this task has already connected."""
+    """Verified links within key groups, without those inside what this task has already connected.
+
+    Links are taken at the least level (most differing bits) first, and one is left out
+    only if links of its own level or below connect its ends already: so whatever a caller
+    finds wrong with a long link, the shorter ones still connect all that they can.
+    """
 
     def __init__(self, distance: int) -> None:
-        self.distance = distance
-        self.parent: dict[int, int] = {}
+        self.levels = [*range(min(DISTANCE, distance), distance, 2), distance]
+        self.parents: list[dict[int, int]] = [{} for _ in self.levels]
 
-    def root(self, x: int) -> int:
-        parent = self.parent
+    def root(self, parent: dict[int, int], x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = parent[up]
             x = up
         return x
 
-    def fresh(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    def fresh(self, a: np.ndarray, b: np.ndarray, level: int) -> Iterator[tuple[int, int]]:
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = self.root(x), self.root(y)
-            if p != q:
-                self.parent[p] = q
-                yield x, y
+            for parent in self.parents[level:]:
+                p, q = self.root(parent, x), self.root(parent, y)
+                if p == q:  # and so at all further levels
+                    break
+                parent[p] = q
+                if parent is self.parents[level]:
+                    yield x, y
 
-    def near(self, a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
-        return np.bitwise_count((a ^ b).view(np.uint64)) <= self.distance
+    def bits(self, a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+        return np.bitwise_count((a ^ b).view(np.uint64))
 
     def large(self, prints: np.ndarray, searching: np.ndarray) -> Iterator[tuple[int, int]]:
-        """A spanning forest of one group; rows that search meet all others, the rest meet only them."""
+        """A spanning forest of one group at each level; rows that search meet all others, the rest meet only them."""
         prints, first = np.unique(prints[np.argsort(~searching, kind="stable")], return_index=True)
         search = first < searching.sum()
-        left, other = prints[search], prints[~search]
-        while len(left):
-            stack = [(left[0], True)]
-            left = left[1:]
-            while stack:
-                one, searches = stack.pop()
-                hit = self.near(left, one)
-                reached, left = left[hit], left[~hit]
-                yield from self.fresh(np.full(len(reached), one), reached)
-                stack += [(x, True) for x in reached]
-                if searches and len(other):
-                    hit = self.near(other, one)
-                    reached, other = other[hit], other[~hit]
-                    yield from self.fresh(np.full(len(reached), one), reached)
-                    stack += [(x, False) for x in reached]
+        for level, most in enumerate(self.levels):
+            left, other = prints[search], prints[~search]
+            while len(left):
+                stack = [(left[0], True)]
+                left = left[1:]
+                while stack:
+                    one, searches = stack.pop()
+                    hit = self.bits(left, one) <= most
+                    reached, left = left[hit], left[~hit]
+                    yield from self.fresh(np.full(len(reached), one), reached, level)
+                    stack += [(x, True) for x in reached]
+                    if searches and len(other):
+                        hit = self.bits(other, one) <= most
+                        reached, other = other[hit], other[~hit]
+                        yield from self.fresh(np.full(len(reached), one), reached, level)
+                        stack += [(x, False) for x in reached]
 
     def sorted_rows(self, keys: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links of whole groups, given rows sorted by key and role."""
@@ -162,12 +174,19 @@ class Linker:
             yield from self.large(prints[start : start + n], keys[start : start + n] & 1 == NEAREST)
         end = np.repeat(edge + size, size)
         at = np.flatnonzero((keys & 1 == NEAREST) & np.repeat((size > 1) & (size <= SMALL_GROUP), size))
+        found: list[list[np.ndarray]] = [[] for _ in self.levels]
         for step in range(1, SMALL_GROUP):
             at = at[at + step < end[at]]
             if not len(at):
                 break
-            hit = at[self.near(prints[at], prints[at + step])]
-            yield from self.fresh(prints[hit], prints[hit + step])
+            bits, least = self.bits(prints[at], prints[at + step]), -1
+            for level, most in enumerate(self.levels):
+                hit = at[(bits <= most) & (bits > least)]
+                found[level].append(np.stack([prints[hit], prints[hit + step]]))
+                least = most
+        for level, pairs in enumerate(found):
+            if pairs:
+                yield from self.fresh(*np.concatenate(pairs, axis=1), level)
 
 
 LINKS = "a long, b long, key long, print long, block int"
@@ -253,12 +272,13 @@ def key_rows(prints: DataFrame) -> DataFrame:
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column ``print``) at ``distance`` or less, directly or in steps.
+    """Links (a, b) that connect all distinct fingerprints (column ``print``) at 4 bits or less, directly or in steps.
 
+    With a larger ``distance`` also those further apart that share a key, which is likely up to about 8 bits.
     Groups of more than ``group_rows`` rows go on in blocks, each pair of blocks in a task of its own.
     """
-    if distance != DISTANCE:
-        raise ValueError("the segments are laid out for 4 differing bits")
+    if distance < DISTANCE:
+        raise ValueError("the segments are laid out for 4 differing bits and more")
     found = materialize(
         key_rows(prints).sortWithinPartitions("key").mapInArrow(lambda rows: link_rows(rows, distance, group_rows), LINKS), "key-links"
     )
@@ -306,3 +326,63 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "near-duplicates",
         mark,
     )
+
+
+def same_words(text: Column) -> Column:
+    """A 64-bit hash of the words in lower case: equal for texts that differ in white space and case alone."""
+    return F.xxhash64(F.trim(collapse_blanks(ascii_lower(text))))
+
+
+def similarity(a: Column, b: Column, shingle: int) -> Column:
+    """Jaccard similarity of the sets of word shingles of two texts; 1 if neither has a word."""
+
+    def shingles(text: str | None) -> set[tuple[bytes, ...]]:
+        words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+    @F.arrow_udf("double")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = []
+        for x, y in zip(left, right, strict=True):
+            one, two = shingles(x.as_py()), shingles(y.as_py())
+            found.append(len(one & two) / len(one | two))
+        return pa.array(found, pa.float64())
+
+    return of(a, b)
+
+
+def near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 8
+) -> DataFrame:
+    """(id, same, keep_id, keep_same) of all documents: the document that stays for each, and ``same_words`` of both.
+
+    Candidates are texts whose fingerprints of single words share a key and differ in
+    ``distance`` bits at most, and texts of one fingerprint; each link is verified on the
+    texts: their sets of ``shingle`` words must have a Jaccard similarity of ``least`` or more.
+    The smallest id of what verified links connect stays (null ids last, then by ``same``).
+    """
+    bound_batches(docs.sparkSession)
+    mark = scratch_mark()
+    whole = text_or_empty(text)
+    marked = materialize(
+        docs.select(F.col(doc_id).alias("id"), same_words(whole).alias("same"), fingerprint(F.col(text), 1).alias("print")), "copy-prints"
+    )
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("head")
+    nodes = materialize(marked.groupBy("same").agg(F.min("print").alias("print"), first), "copy-nodes")
+    prints = materialize(nodes.groupBy("print").agg(F.min("same").alias("rep")), "copy-reps")
+    near = near_links(prints, distance)
+    side = lambda name: prints.select(F.col("print").alias(name), F.col("rep").alias(f"{name}_node"))
+    between = near.join(side("a"), "a").join(side("b"), "b").select("a_node", "b_node")
+    within = nodes.join(prints, "print").where(F.col("same") != F.col("rep")).select(F.col("same").alias("a_node"), F.col("rep").alias("b_node"))
+    links = materialize(between.unionByName(within), "copy-candidates")
+    ends = links.select(F.col("a_node").alias("same")).union(links.select("b_node")).distinct()
+    texts = docs.select(same_words(whole).alias("same"), whole.alias("whole")).join(ends, "same", "left_semi")
+    texts = materialize(texts.groupBy("same").agg(F.min("whole").alias("whole")), "copy-texts")
+    of = lambda name: texts.select(F.col("same").alias(f"{name}_node"), F.col("whole").alias(name))
+    verified = links.join(of("a"), "a_node").join(of("b"), "b_node").where(similarity(F.col("a"), F.col("b"), shingle) >= least)
+    roots = components(materialize(verified.select("a_node", "b_node"), "copy-links"), "a_node", "b_node")
+    rooted = nodes.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "head", F.coalesce("root", "same").alias("root"))
+    rooted = materialize(rooted, "copy-roots")
+    kept = rooted.groupBy("root").agg(F.min("head").alias("kept"))
+    labels = rooted.join(kept, "root").select("same", F.col("kept.id").alias("keep_id"), F.col("kept.same").alias("keep_same"))
+    return finish(marked.join(labels, "same").select("id", "same", "keep_id", "keep_same"), "copies", mark)
