@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ import pytest
 import corpus_pipeline
 from dateloom.llm.decontamination import words_of
 from dateloom.llm.registry import ORACLES
-from dateloom.llm.simhash import text_fingerprint
+from dateloom.llm.simhash import near_copies
 from tests.llm.fixtures import PLAIN, clashing, documents, empty
 from tests.test_queries import DIR, canonical, sql  # noqa: F401
 
@@ -33,11 +34,11 @@ def expected(rows):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t))
     kept = dict(first.values())
     root = {i: i for i in kept}
-    prints = {i: text_fingerprint(t) for i, t in kept.items()}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in kept.items() for w in [t.lower().split()]}
     for _ in kept:
         for a in kept:
             for b in kept:
-                if (prints[a] ^ prints[b]).bit_count() <= 4:
+                if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
                     root[a] = min(root[a], root[b])
     kept = {i: t for i, t in kept.items() if root[i] == i}
     window = b" quick brown fox jumps over the lazy dog and ran "
@@ -50,6 +51,26 @@ def test_run_equals_brute_force(spark, corpus):
     assert sorted(r.doc_id for r in found.collect()) == sorted(expected(rows))
 
 
+def test_near_copies_are_found(spark):
+    """Pairs of texts with some words changed: nine in ten of those at 0.8 or more, and none of the others."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, near = [], set()
+    for i in range(300):
+        one = rng.choices(words, [1 / (k + 3) for k in range(3000)], k=rng.choice((60, 200, 600)))
+        two = list(one)
+        for k in rng.sample(range(len(two)), len(two) * rng.choice((1, 2, 3)) // 60 or 1):
+            two[k] = f"x{rng.randrange(10**6)}"
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (one, two)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            near.add(2 * i + 1)
+        rows += [(2 * i, " ".join(one), "en", "s"), (2 * i + 1, " ".join(two), "en", "s")]
+    rows += [(900, "a b c", "en", "s"), (901, "c b a", "en", "s"), (None, "A  b c", "en", "s"), (902, "a b c", "en", "s")]
+    gone = {r.id for r in near_copies(documents(spark, rows)).collect() if (r.id, r.same) != (r.keep_id, r.keep_same)}
+    assert {None, 902} <= gone and not gone & {900, 901}
+    assert gone - {None, 902} <= near and len(gone & near) >= 0.9 * len(near) and len(near) > 100
+
+
 def test_stages_keep_columns_and_bear_awkward_tables(spark, corpus):
     folder, _ = corpus
     for docs in (clashing(spark), empty(spark)):
