@@ -7,9 +7,7 @@ executors share; a folder of our own is set only where a session has none
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 
@@ -81,18 +79,6 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that nothing refers to any more, before the next large one.
-
-    Python lets go of its handles first; Spark's cleaner learns of the files at the
-    collection after that and deletes them in the background within a second or two.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -2,20 +2,27 @@
 
 Symbols are the words of a text and one end mark; all words never seen in learning
 are one more symbol. The root has the words' frequencies, with the share of words
-seen once kept for the unknown one (Good-Turing). A state is a context of one word
-or of two that learning saw at least twice. It is kept if its next-word distribution
-diverges from its parent's: leaving each occurrence out in turn, the occurrences must
-be likelier after the state than after its parent. Distributions are smoothed by
-absolute discounting towards the parent's, so each sums to one. A word is scored
-after the longest kept state that is a suffix of what stands before it.
+seen once kept for the unknown one (Good-Turing). A state is a context of one to
+``DEPTH`` words that learning saw at least twice. It is kept if its next-word distribution
+diverges from its parent's, which is that of the longest kept state that is a proper suffix
+of it: leaving each occurrence out in turn, the occurrences must be likelier after the
+state than after its parent. No state is thrown out before that test. Distributions are
+smoothed by absolute discounting towards the parent's, so each sums to one. A word is
+scored after the longest kept state that is a suffix of what stands before it.
 
 Documents are dealt into chunks of about as many words as one task read, each a few
-files in the shared folder: word numbers, word hashes, document ids. Whatever a chunk
-must know of the whole corpus (counts of its words, of its pairs and triples, sums
-over its contexts) goes through ``exchange``: the chunk sends sorted 64-bit keys with
-its own values, packed by key range; the task of a range adds up equal keys and
-answers in the same order. Nothing but those packs is shuffled, a frequent word is
-one key for each chunk, and the driver sees only sums.
+files in the shared folder: word numbers, word hashes, document ids. An ``exchange`` then
+gives each word its count and a number of its own, small for frequent words. All states that
+end in one word are one subtree, so each chunk sends its different runs of ``DEPTH`` + 1
+words, with how often it learned them, to the owner of the last word but one; the owner has all it takes to
+count, test and smooth that subtree, and answers with the probability of each run. So the whole tree
+takes one shuffle each way.
+
+A word (or longer state) with more than ``LARGE`` runs is no one's: its next words are counted
+by an ``exchange``, which splits them evenly, its test adds up sums over them, and its longer
+contexts have owners of their own, down to ``DEPTH``. There are at most runs / ``LARGE`` such
+states at each depth, and they alone reach the driver. Keys are whole numbers of states and
+words, not hashes of them; only words are told apart by a hash, of 64 bits.
 
 Edge cases: a null, empty or wordless text is the end mark alone; a null id counts
 as a learning one; with nothing to learn from every word is unknown; equal ids each
@@ -26,9 +33,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +46,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import bound_batches, drop_finished_shuffles, scratch_path, text_or_empty
+from dateloom.llm.common import bound_batches, finish, release, scratch_mark, scratch_path, text_or_empty
 from dateloom.llm.files import open_fs
 
 #: Least learning occurrences of a context; discount from each seen next word; least gain of a kept state in nats.
 LEAST_COUNT, DISCOUNT, LEAST_GAIN = 2, 0.75, 2.0
-#: Words after which a task starts a new chunk, and keys that one task of an exchange adds up.
-CHUNK_WORDS, KEYS_A_PART = 1_500_000, 2_000_000
-#: Bits of a pair's or triple's key beyond those that number all words, so that one key in a million shares its sums
-#: with another, whatever the corpus.
-SPARE_BITS = 20
+#: Words of the longest state.
+DEPTH = 3
+#: Words after which a task starts a new chunk, keys that one task of an exchange adds up, and runs that one owner is given.
+CHUNK_WORDS, KEYS_A_PART, RUNS_A_PART = 1_500_000, 2_000_000, 2_000_000
+#: Occurrences beyond which a state has no owner.
+LARGE = 500_000
 NO_ID = -(2**63)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
-#: Fixed odd multipliers for mixing hashes.
+#: Fixed odd multipliers for scattering numbers.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,32 +68,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
-def mix(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of two hashes in order, but for the first ``bits`` bits zero so that packs stay small."""
-    x = a * MIX_A + b
+def scatter(x: np.ndarray) -> np.ndarray:
+    """Numbers spread evenly over 64 bits, no two to the same one."""
+    x = x.astype(np.uint64) * MIX_A
     x ^= x >> np.uint64(32)
-    x *= MIX_B
-    return x >> np.uint64(64 - bits) << np.uint64(64 - bits)
+    return x * MIX_B
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, a place of each, and the number of the key at every place."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(keys), np.int32)
-    number[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ordered[new], order[new], number
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the number of the key at every place."""
+    return np.unique(keys, return_inverse=True)
 
 
 def pack(values: np.ndarray) -> bytes:
     """Bytes of an array, like bytes together, compressed."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).reshape(len(values), -1).view(np.uint8).T
     return zstandard.compress(planes.tobytes(), 1)
 
 
 def unpack(data: bytes, dtype: str, columns: int = 1) -> np.ndarray:
+    if not data:
+        return np.empty((0, columns) if columns > 1 else 0, dtype)
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
     width = np.dtype(dtype).itemsize * columns
     out = np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype)
@@ -163,280 +168,441 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
     return sorted((r["name"], r["words"]) for r in docs.mapInArrow(write, "name string, words long").collect())
 
 
-#: Type and columns of what a channel sends, and of its answers; answers on pairs and triples add whether the chunk is the first to hold the key.
-SENT = {"w": ("<f8", 1), "p": ("<f8", 1), "t": ("<f8", 1), "c": ("<f4", 3), "d": ("<f4", 3)}
-ANSWERS = SENT | {"p": ("<f8", 2), "t": ("<f8", 2)}
+@dataclass
+class LargeStates:
+    """The states of one depth that have no owner: sorted keys (number of the parent among its like, and the word before), and
+    for each how often it was learned, how many next words it has, and whether it is kept."""
+
+    keys: np.ndarray
+    count: np.ndarray | None = None
+    seen: np.ndarray | None = None
+    keep: np.ndarray | None = None
 
 
 @dataclass
 class Model:
-    """What holds for the whole corpus: learning words, how many are distinct, how many occur once; bits of a key."""
+    """What holds for the whole corpus: learning words, how many are distinct, how many occur once, the greatest word number; large states by depth."""
 
-    tokens: float = 0
-    distinct: float = 0
-    once: float = 0
-    bits: int = 64
+    depth: int
+    tokens: int = 0
+    distinct: int = 0
+    once: int = 0
+    numbers: int = 0
+    large: list[LargeStates] = field(default_factory=list)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """The root's probability of words with these counts; 0 stands for the unknown word."""
         unknown = (self.once + 0.5) / (self.tokens + 1)
         return np.where(counts > 0, (1 - unknown) * counts / max(self.tokens, 1), unknown)
 
+    def key(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """One number for a state's number and a word's."""
+        return state.astype(np.uint64) * np.uint64(self.numbers + 1) + word.astype(np.uint64)
+
 
 class Chunk:
-    """One chunk's files, and what the exchanges so far have answered, by position."""
+    """One chunk's files, and the places of its words that stand after some state."""
 
     def __init__(self, folder: str, name: str, model: Model) -> None:
         self.folder, self.name, self.model = folder, name, model
         self.tokens, self.hashes = load(folder, name, "tok", "<i4"), load(folder, name, "voc", "<u8")
         self.lengths = load(folder, name, "len", "<i8")
         self.use = np.repeat(load(folder, name, "use", "u1"), self.lengths).astype(bool)
-        ends = np.cumsum(self.lengths)
-        self.place = np.arange(len(self.tokens)) - np.repeat(ends - self.lengths, self.lengths)
-
-    def answer(self, channel: str) -> np.ndarray:
-        dtype, columns = ANSWERS[channel]
-        return load(self.folder, self.name, channel, dtype, columns)
-
-    def context_words(self) -> np.ndarray:
-        """Numbers of the words that can be a context, in order of their hashes."""
-        order = np.argsort(self.hashes)
-        return order[self.words[order] >= LEAST_COUNT]
 
     @cached_property
     def words(self) -> np.ndarray:
-        """Learning count of each word of the chunk's vocabulary."""
-        out = np.empty(len(self.hashes))
-        out[np.argsort(self.hashes)] = self.answer("w")
+        """(learning count, number) of each word of the chunk's vocabulary; the number of unlearned words is 0."""
+        out = np.empty((len(self.hashes), 2), np.int64)
+        out[np.argsort(self.hashes)] = load(self.folder, self.name, "w", "<i8", 2)
         return out
 
     @cached_property
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions after a context of one word; sorted distinct keys, first place among the positions, and number of each."""
-        at = np.flatnonzero(self.place >= 1)
-        at = at[self.words[self.tokens[at - 1]] >= LEAST_COUNT]
-        return at, *distinct(mix(self.hashes[self.tokens[at - 1]], self.hashes[self.tokens[at]], self.model.bits))
+    def at(self) -> np.ndarray:
+        """Places after a word that can be a state."""
+        first = np.zeros(len(self.tokens), bool)
+        first[np.cumsum(self.lengths) - self.lengths] = True
+        at = np.flatnonzero(~first)
+        return at[self.words[self.tokens[at - 1], 0] >= LEAST_COUNT]
 
     @cached_property
-    def pair_counts(self) -> np.ndarray:
-        """(count, first chunk to hold it?) of each distinct pair."""
-        return self.answer("p")
+    def next(self) -> np.ndarray:
+        return self.words[self.tokens[self.at], 1]
 
     @cached_property
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As ``pairs`` after contexts of two words, and last the number of the context's pair for each position."""
-        at, keys, _, number = self.pairs
-        pair_at = np.full(len(self.tokens), -1, np.int32)
-        pair_at[at] = number
-        here = np.flatnonzero(self.place >= 2)
-        context = pair_at[here - 1]
-        here, context = here[context >= 0], context[context >= 0]
-        grown = self.pair_counts[context, 0] >= LEAST_COUNT
-        here, context = here[grown], context[grown]
-        return here, *distinct(mix(keys[context], self.hashes[self.tokens[here]], self.model.bits)), context
+    def before(self) -> list[np.ndarray]:
+        """Numbers of the words before each place, the nearest first; 0 where the context cannot reach so far."""
+        place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        out = []
+        for d in range(1, self.model.depth + 1):
+            there = place[self.at] >= d
+            word = self.tokens[np.where(there, self.at - d, 0)]
+            there &= self.words[word, 0] >= LEAST_COUNT
+            if out:
+                there &= out[-1] > 0
+            out.append(np.where(there, self.words[word, 1], 0))
+        return out
 
-    @cached_property
-    def one_word(self) -> tuple[np.ndarray, np.ndarray]:
-        """(next words seen, kept?) of each word as a context."""
-        sums = np.zeros((len(self.hashes), 3))
-        sums[self.context_words()] = self.answer("c")
-        return sums[:, 0], kept(self.words, sums)
-
-    def after_one(self, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Probability of words after contexts of one word (numbers in the vocabulary), or at the root where that is not kept."""
-        base = self.model.root(self.words[word])
-        seen, keep = self.one_word
-        n = np.maximum(self.words[context], 1)
-        return np.where(keep[context], (np.maximum(count - DISCOUNT, 0) + DISCOUNT * seen[context] * base) / n, base)
-
-    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known words, base score and model score of each document."""
-        count = self.words[self.tokens]
+    def candidates(self, d: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose context of ``d`` words has a large parent (``state`` is its number, -1 for none), and the context's keys."""
+        here = np.flatnonzero((state >= 0) & (self.before[d - 1] > 0))
+        return here, self.model.key(state[here], self.before[d - 1][here])
+
+    def large_at(self, d: int, state: np.ndarray) -> np.ndarray:
+        """The number of each place's large state of ``d`` words, or -1."""
+        here, keys = self.candidates(d, state)
+        known = self.model.large[d - 1].keys
+        found = np.searchsorted(known, keys)
+        hit = found < len(known)
+        hit[hit] = known[found[hit]] == keys[hit]
+        out = np.full(len(self.at), -1, np.int64)
+        out[here[hit]] = found[hit]
+        return out
+
+    def grams(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places after a large state; sorted distinct keys of the state with the next word, and the key's number at each place."""
+        here = np.flatnonzero(state >= 0)
+        return here, *distinct(scatter(self.model.key(state[here], self.next[here])))
+
+    def descend(self, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Down the large states: each place's state at depth ``upto`` (or -1), the probability of its word so far, and the depth reached."""
+        state, p = np.zeros(len(self.at), np.int64), self.model.root(self.words[self.tokens[self.at], 0])
+        depth = np.zeros(len(self.at), np.int8)
+        for d in range(1, upto + 1):
+            state = self.large_at(d, state)
+            table = self.model.large[d - 1]
+            if table.keep is None:
+                break
+            here, _, number = self.grams(state)
+            depth[here] = d
+            of = state[here]
+            count = load(self.folder, self.name, f"n{d}", "<i8", 2)[number, 0]
+            longer = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * table.seen[of] * p[here]) / np.maximum(table.count[of], 1)
+            p[here] = np.where(table.keep[of], longer, p[here])
+        return state, p, depth
+
+    def runs(self, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What goes to owners: the places, the run's number at each, and of each run, in the order of owners: a place,
+        its owner; then the probability so far and the depth reached of all places."""
+        _, p, depth = self.descend(len(self.model.large))
+        words = np.stack(self.before)
+        reach = np.minimum(depth, self.model.depth - 1)
+        sent = np.flatnonzero((depth < self.model.depth) & (words[reach, np.arange(len(depth))] > 0))
+        if self.model.numbers < 2**32 - 1 and self.model.depth == 3:  # two keys in place of four
+            keys = [self.model.key(words[2], self.next), self.model.key(words[0], words[1])]
+        else:
+            keys = [self.next, *words[::-1]]
+        keys = [k[sent] for k in keys]
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        place = sent[order[new]]
+        route = words[0][place].astype(np.uint64)
+        for d in range(1, self.model.depth):
+            route = np.where(depth[place] >= d, scatter(route) ^ words[d][place].astype(np.uint64), route)
+        owner = (scatter(route) >> np.uint64(32)) % np.uint64(owners)
+        by_owner = np.argsort(owner, kind="stable")
+        rank = np.empty(len(place), np.int64)
+        rank[by_owner] = np.arange(len(place))
+        return sent, rank[number], place[by_owner], owner[by_owner].astype(np.int64), p, depth
+
+    def scores(self, owners: int, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known words, base score and model score of each document, given the owners' probabilities in the order of runs."""
+        count = self.words[self.tokens, 0]
+        sent, number, _, _, reached, _ = self.runs(owners)
         p = self.model.root(count)
-        at, _, _, number = self.pairs
-        after_one = self.after_one(self.tokens[at - 1], self.tokens[at], self.pair_counts[number, 0])
-        p[at] = after_one
-        here, _, _, triple, context = self.triples
-        if len(here):
-            sums = self.answer("d").astype(float)[np.searchsorted(np.unique(context), context)]
-            n = self.pair_counts[context, 0]
-            keep = kept(n, sums)
-            longer = (np.maximum(self.answer("t")[triple, 0] - DISCOUNT, 0) + DISCOUNT * sums[:, 0] * p[here]) / n
-            p[here[keep]] = longer[keep]
-        edge = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        p[self.at] = reached
+        p[self.at[sent]] = answers[number]
+        edge = np.cumsum(self.lengths) - self.lengths
         total = lambda x: np.add.reduceat(x, edge) if len(edge) else np.empty(0)
         floor = np.log10(self.model.tokens + self.model.distinct + 1)
         return total((count > 0).astype(np.int64)), total(np.log10(count + 1)) - self.lengths * floor, total(np.log10(p))
 
 
 def evidence(count: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """What one next word adds to its context: (seen, seen once, weighted log of its share over the parent's)."""
+    """What one next word adds to its state: (count, seen, seen once, weighted log of its share over the parent's)."""
     more = count >= 2
     gain = np.where(more, count * np.log(np.maximum(count - 1 - DISCOUNT, 0.25) / parent), 0.0)
-    return np.stack([(count >= 1).astype(float), (count == 1).astype(float), gain], axis=1)
+    return np.stack([count.astype(float), (count >= 1).astype(float), (count == 1).astype(float), gain], axis=1)
 
 
-def kept(n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+def kept(n: np.ndarray, seen: np.ndarray, once: np.ndarray, gain: np.ndarray) -> np.ndarray:
     """The divergence test: the log likelihood gained over the parent when each occurrence is left out in turn."""
-    seen, once, gain = sums.T
     rest = np.maximum(n - 1, 1)
     backed_off = np.log(np.maximum(DISCOUNT * (seen - 1), 0.25) / rest)
     return (n >= LEAST_COUNT) & (once * backed_off + gain - (n - once) * np.log(rest) >= LEAST_GAIN)
 
 
-Request = tuple[str, np.ndarray, np.ndarray]
-
+def subtree(words: list[np.ndarray], following: np.ndarray, learned: np.ndarray, p: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The probability of each run, given all runs of the same subtrees: how often each was learned, and what is known down to ``depth``."""
+    p, state = p.astype(float), np.zeros(len(following), np.int64)
+    step = np.uint64(max(int(following.max(initial=0)), *(int(w.max(initial=0)) for w in words)) + 1)
+    inside = np.ones(len(following), bool)
+    for d, word in enumerate(words, 1):
+        inside &= word > 0
+        here = np.flatnonzero(inside)
+        _, state[here] = distinct(state[here].astype(np.uint64) * step + word[here].astype(np.uint64))
+        here = here[depth[here] < d]
+        if not len(here):
+            continue
+        _, own, of = np.unique(state[here], return_index=True, return_inverse=True)
+        _, first, gram = np.unique(of.astype(np.uint64) * step + following[here].astype(np.uint64), return_index=True, return_inverse=True)
+        count = np.bincount(gram, weights=learned[here])
+        seen_by_state = count > 0
+        adds = evidence(count[seen_by_state], p[here[first[seen_by_state]]])
+        sums = np.stack([np.bincount(of[first[seen_by_state]], weights=x, minlength=len(own)) for x in adds.T])
+        keep = kept(*sums)
+        longer = (np.maximum(count[gram] - DISCOUNT, 0) + DISCOUNT * sums[1][of] * p[here]) / np.maximum(sums[0][of], 1)
+        p[here] = np.where(keep[of], longer, p[here])
+    return p
 
-def ask_words(chunk: Chunk) -> Iterator[Request]:
-    order = np.argsort(chunk.hashes)
-    yield "w", chunk.hashes[order], np.bincount(chunk.tokens[chunk.use], minlength=len(chunk.hashes))[order].astype(float)
-
-
-def ask_pairs(chunk: Chunk) -> Iterator[Request]:
-    at, keys, _, number = chunk.pairs
-    yield "p", keys, np.bincount(number[chunk.use[at]], minlength=len(keys)).astype(float)
 
+Request = tuple[str, np.ndarray, np.ndarray]
 
-def ask_contexts_and_triples(chunk: Chunk) -> Iterator[Request]:
-    at, _, first, _ = chunk.pairs
-    own = (chunk.pair_counts[:, 1] > 0) & (chunk.pair_counts[:, 0] > 0)
-    sums = np.zeros((len(chunk.hashes), 3))
-    where = at[first[own]]
-    adds = evidence(chunk.pair_counts[own, 0], chunk.model.root(chunk.words[chunk.tokens[where]]))
-    np.add.at(sums, chunk.tokens[where - 1], adds)
-    contexts = chunk.context_words()
-    yield "c", chunk.hashes[contexts], sums[contexts].astype("<f4")
-    here, keys, _, number, _ = chunk.triples
-    yield "t", keys, np.bincount(number[chunk.use[here]], minlength=len(keys)).astype(float)
 
+def ask_words(chunk: Chunk) -> Request:
+    order = np.argsort(chunk.hashes)
+    return "w", chunk.hashes[order], np.bincount(chunk.tokens[chunk.use], minlength=len(chunk.hashes))[order].astype(np.int64)
 
-def ask_longer_contexts(chunk: Chunk) -> Iterator[Request]:
-    here, _, first, _, context = chunk.triples
-    counts = chunk.answer("t")
-    contexts = np.unique(context)
-    own = (counts[:, 1] > 0) & (counts[:, 0] > 0)
-    where, of = here[first[own]], context[first[own]]
-    pair_at, _, _, number = chunk.pairs
-    pair = number[np.searchsorted(pair_at, where)]
-    parent = chunk.after_one(chunk.tokens[where - 1], chunk.tokens[where], chunk.pair_counts[pair, 0])
-    sums = np.zeros((len(contexts), 3))
-    np.add.at(sums, np.searchsorted(contexts, of), evidence(counts[own, 0], parent))
-    yield "d", chunk.pairs[1][contexts], sums.astype("<f4")
 
+def ask_next_words(chunk: Chunk) -> Request:
+    """How often each next word was learned after each large state of the greatest depth there is."""
+    d = len(chunk.model.large)
+    state, _, _ = chunk.descend(d)
+    here, keys, number = chunk.grams(state)
+    learned = number[chunk.use[chunk.at[here]]]
+    return f"n{d}", keys, np.bincount(learned, minlength=len(keys)).astype(np.int64)
 
 
 def exchange(
-    spark: SparkSession, folder: str, chunks: list[tuple[str, int]], model: Model, ask: Callable[[Chunk], Iterator[Request]]
-) -> dict[str, tuple[float, float, float]]:
-    """Send each chunk's keys and values, add up those of equal keys, and save the sums as files of the chunks.
+    spark: SparkSession, folder: str, chunks: list[tuple[str, int]], model: Model, ask: Callable[[Chunk], Request]
+) -> tuple[int, int, int, int]:
+    """Send each chunk's keys and counts, add up those of equal keys, and save the sums as files of the chunks.
 
-    Returns for each channel the total, and how many keys have a sum above 0 and of 1.
+    With each sum goes a second number. For words it is the word's own, frequent words having small
+    ones; for other keys it is 1 in the first chunk to hold the key and 0 in others. Returns the
+    total, how many keys have a sum above 0 and of 1, and the greatest number.
     """
     bits = max(0, int(np.ceil(np.log2(max(1, sum(n for _, n in chunks)) / KEYS_A_PART))))
-    table = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(chunks)], "chunk int, name string")
+    parts = 1 << bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for channel, keys, values in ask(Chunk(folder, row["name"], model)):
-                    cut = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys)), np.arange((1 << bits) + 1))
-                    parts = [p for p in range(1 << bits) if cut[p] < cut[p + 1]]
-                    delta = [np.diff(keys[cut[p] : cut[p + 1]], prepend=np.uint64(0)) for p in parts]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "channel": [channel] * len(parts),
-                            "part": pa.array(parts, pa.int32()),
-                            "chunk": pa.array([row["chunk"]] * len(parts), pa.int32()),
-                            "name": [row["name"]] * len(parts),
-                            "keys": pa.array(map(pack, delta), pa.binary()),
-                            "vals": pa.array([pack(values[cut[p] : cut[p + 1]]) for p in parts], pa.binary()),
-                        },
-                        schema=pa.schema(
-                            [("channel", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("name", pa.string())]
-                            + [("keys", pa.binary()), ("vals", pa.binary())]
-                        ),
-                    )
-
-    def add_up(group: list[dict]) -> Iterator[dict]:
-        channel = group[0]["channel"]
+        for row in (r for b in batches for r in b.to_pylist()):
+            channel, keys, values = ask(Chunk(folder, row["name"], model))
+            cut = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys)), np.arange(parts + 1))
+            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "channel": [channel] * len(used),
+                    "part": pa.array(used, pa.int32()),
+                    "chunk": pa.array([row["chunk"]] * len(used), pa.int32()),
+                    "name": [row["name"]] * len(used),
+                    "keys": pa.array([pack(np.diff(keys[cut[p] : cut[p + 1]], prepend=np.uint64(0))) for p in used], pa.binary()),
+                    "vals": pa.array([pack(values[cut[p] : cut[p + 1]]) for p in used], pa.binary()),
+                },
+                schema=pa.schema(
+                    [("channel", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("name", pa.string())]
+                    + [("keys", pa.binary()), ("vals", pa.binary())]
+                ),
+            )
+
+    def add_up(group: list[dict]) -> list[dict]:
         keys = [np.cumsum(unpack(r["keys"], "<u8"), dtype=np.uint64) for r in group]
-        dtype, columns = SENT[channel]
-        values = [unpack(r["vals"], dtype, columns).reshape(len(k), columns).astype(float) for r, k in zip(group, keys, strict=True)]
-        every = np.concatenate(keys)
+        every, values = np.concatenate(keys), np.concatenate([unpack(r["vals"], "<i8") for r in group])
         order = np.argsort(every, kind="stable")
         start = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
-        sums = np.add.reduceat(np.concatenate(values)[order], start, axis=0)
-        dtype, wide = ANSWERS[channel]
-        out = np.empty((len(every), wide), dtype)
-        out[order, :columns] = np.repeat(sums, np.diff(np.concatenate([start, [len(every)]])), axis=0)
-        if wide > columns:
-            out[:, -1] = 0
-            out[order[start], -1] = 1
-        at = 0
-        for r, k in zip(group, keys, strict=True):
-            yield {"name": r["name"], "channel": channel, "part": r["part"], "vals": pack(out[at : at + len(k)])}
-            at += len(k)
-        totals = np.array([[sums[:, 0].sum(), (sums[:, 0] > 0).sum(), (sums[:, 0] == 1).sum()]])
-        yield {"name": "", "channel": channel, "part": group[0]["part"], "vals": totals.tobytes()}
+        sums = np.add.reduceat(values[order], start)
+        out = np.zeros((len(every), 2), np.int64)
+        each = np.diff(np.concatenate([start, [len(every)]]))
+        out[order, 0] = np.repeat(sums, each)
+        if group[0]["channel"] == "w":
+            number = np.empty(len(sums), np.int64)
+            number[np.argsort(-sums, kind="stable")] = np.arange(len(sums)) * parts + group[0]["part"] + 1
+            out[order, 1] = np.repeat(np.where(sums > 0, number, 0), each)
+        else:
+            out[order[start], 1] = 1
+        edges = np.cumsum([0, *map(len, keys)])
+        found = [
+            {"chunk": r["chunk"], "name": r["name"], "channel": r["channel"], "part": r["part"], "vals": pack(out[a:b])}
+            for r, a, b in zip(group, edges, edges[1:], strict=False)
+        ]
+        totals = np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum(), out[:, 1].max()])
+        return [*found, {"chunk": 0, "name": "", "channel": "", "part": -1, "vals": totals.astype("<i8").tobytes()}]
+
+    schema = pa.schema([("chunk", pa.int32()), ("name", pa.string()), ("channel", pa.string()), ("part", pa.int32()), ("vals", pa.binary())])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("name", pa.string()), ("channel", pa.string()), ("part", pa.int32()), ("vals", pa.binary())])
-        group: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if group and (row["channel"], row["part"]) != (group[0]["channel"], group[0]["part"]):
-                    yield pa.RecordBatch.from_pylist(list(add_up(group)), schema=schema)
-                    group = []
-                group.append(row)
-        if group:
-            yield pa.RecordBatch.from_pylist(list(add_up(group)), schema=schema)
+        for _, rows in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"]):
+            yield pa.RecordBatch.from_pylist(add_up(list(rows)), schema=schema)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now, totals = ("", ""), {}
+        for name, rows in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["name"]):
+            if name:
+                held = list(rows)
+                save(folder, name, **{held[0]["channel"]: np.concatenate([unpack(r["vals"], "<i8", 2) for r in held])})
+                continue
+            found = np.stack([np.frombuffer(r["vals"], "<i8") for r in rows])
+            yield pa.RecordBatch.from_pydict(dict(zip(TOTALS, ([int(x)] for x in [*found[:, :3].sum(axis=0), found[:, 3].max()]), strict=True)))
+
+    sent = chunk_rows(spark, chunks).mapInArrow(send, "channel string, part int, chunk int, name string, keys binary, vals binary")
+    summed = (
+        sent.repartitionById(parts, F.col("part"))
+        .sortWithinPartitions("part", "chunk")
+        .mapInArrow(answers, "chunk int, name string, channel string, part int, vals binary")
+    )
+    saved = (
+        summed.repartitionById(len(chunks), F.col("chunk"))
+        .sortWithinPartitions("name", "part")
+        .mapInArrow(keep, ", ".join(f"{x} long" for x in TOTALS))
+    )
+    found = saved.agg(*(F.sum(x) for x in TOTALS[:3]), F.max(TOTALS[3])).first()
+    return tuple(int(x or 0) for x in found)
 
-        def close() -> None:
-            if held:
-                save(folder, now[0], **{now[1]: np.concatenate([unpack(v, *ANSWERS[now[1]]) for v in held])})
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if not row["name"]:
-                    totals[row["channel"]] = totals.get(row["channel"], 0) + np.frombuffer(row["vals"])
-                    continue
-                if (row["name"], row["channel"]) != now:
-                    close()
-                    held, now = [], (row["name"], row["channel"])
-                held.append(row["vals"])
-        close()
-        for channel, sums in totals.items():
+TOTALS = ("total", "distinct", "once", "greatest")
+
+
+def chunk_rows(spark: SparkSession, chunks: list[tuple[str, int]]) -> DataFrame:
+    """(chunk, name), one row and one task a chunk."""
+    table = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(chunks)], "chunk int, name string")
+    return table.repartitionById(len(chunks), F.col("chunk"))
+
+
+def find_large(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], model: Model, large: int) -> np.ndarray:
+    """Keys of the states one word longer than those of ``model.large`` that may stand before more than ``large`` words, sorted.
+
+    A chunk leaves out what it holds a few times only; even if all did, a quarter of ``large`` would be missing.
+    """
+    few = large / 4 / len(chunks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            chunk = Chunk(folder, row["name"], model)
+            d = len(model.large) + 1
+            state, _, _ = chunk.descend(d - 1)
+            keys, n = np.unique(chunk.candidates(d, state)[1], return_counts=True)
+            often = n > few
+            yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
+
+    found = chunk_rows(spark, chunks).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["key"] for r in found.where(F.col("n") > 0.75 * large).collect()], np.int64).view(np.uint64))
+
+
+def judge_large(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], model: Model) -> LargeStates:
+    """The large states of the greatest depth with their sums, and whether they are kept."""
+    d, size = len(model.large), len(model.large[-1].keys)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            chunk = Chunk(folder, row["name"], model)
+            state, p, _ = chunk.descend(d)
+            here, keys, number = chunk.grams(state)
+            count, first = load(folder, row["name"], f"n{d}", "<i8", 2).T if len(keys) else np.empty((2, 0), np.int64)
+            place = np.empty(len(keys), np.int64)
+            place[number] = here
+            own = (first > 0) & (count > 0)
+            sums = np.zeros((size, 4))
+            np.add.at(sums, state[place[own]], evidence(count[own], p[place[own]]))
+            used = np.flatnonzero(sums[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, sums[used].T)], ["state", "n", "seen", "once", "gain"])
+
+    rows = chunk_rows(spark, chunks).mapInArrow(add, "state long, n double, seen double, once double, gain double")
+    sums = np.zeros((size, 4))
+    for r in rows.groupBy("state").agg(*(F.sum(x) for x in ("n", "seen", "once", "gain"))).collect():
+        sums[r[0]] = r[1:]
+    return LargeStates(model.large[-1].keys, sums[:, 0], sums[:, 1], kept(*sums.T))
+
+
+def learn(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], depth: int, large: int) -> Model:
+    """Words and large states; the rest of the tree lives with its owners."""
+    model = Model(depth, *exchange(spark, folder, chunks, Model(depth), ask_words))
+    for _ in range(depth):
+        keys = find_large(spark, folder, chunks, model, large)
+        if not len(keys):
+            break
+        model.large.append(LargeStates(keys))
+        exchange(spark, folder, chunks, model, ask_next_words)
+        model.large[-1] = judge_large(spark, folder, chunks, model)
+    return model
+
+
+#: Types of what a run has besides its words: how often it was learned, its probability so far, the depth reached.
+RUN_EXTRAS = (("learned", "<i8"), ("p", "<f4"), ("depth", "i1"))
+
+
+def score_chunks(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], model: Model, schema: str) -> DataFrame:
+    owners = max(1, -(-sum(n for _, n in chunks) // RUNS_A_PART))
+    words = [f"w{d}" for d in range(1, model.depth + 1)]
+    columns = [*words, "next", *(x for x, _ in RUN_EXTRAS)]
+    dtypes = dict.fromkeys([*words, "next"], "<i8") | dict(RUN_EXTRAS)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            chunk = Chunk(folder, row["name"], model)
+            sent, number, place, owner, p, depth = chunk.runs(owners)
+            values = {f"w{d}": chunk.before[d - 1][place] for d in range(1, model.depth + 1)}
+            values |= {"next": chunk.next[place], "p": p[place].astype("<f4"), "depth": depth[place]}
+            values["learned"] = np.bincount(number[chunk.use[chunk.at[sent]]], minlength=len(place)).astype(np.int64)
+            cut = np.searchsorted(owner, np.arange(owners + 1))
+            used = [o for o in range(owners) if cut[o] < cut[o + 1]]
+            packed = {x: pa.array([pack(values[x][cut[o] : cut[o + 1]]) for o in used], pa.binary()) for x in columns}
             yield pa.RecordBatch.from_pydict(
-                {"channel": [channel], "total": [sums[0]], "distinct": [sums[1]], "once": [sums[2]]}
+                {"owner": pa.array(used, pa.int32()), "chunk": pa.array([row["chunk"]] * len(used), pa.int32()), **packed}
             )
 
-    sent = table.repartition(len(chunks), "chunk").mapInArrow(
-        send, "channel string, part int, chunk int, name string, keys binary, vals binary"
-    )
-    summed = (
-        sent.repartition(2 << bits, "channel", "part")
-        .sortWithinPartitions("channel", "part", "chunk")
-        .mapInArrow(answers, "name string, channel string, part int, vals binary")
-    )
-    saved = (
-        summed.repartition(2 * len(chunks), "name", "channel")
-        .sortWithinPartitions("name", "channel", "part")
-        .mapInArrow(keep, "channel string, total double, distinct double, once double")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, rows in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["owner"]):
+            group = list(rows)
+            found = {x: [unpack(r[x], dtypes[x]) for r in group] for x in columns}
+            edges = np.cumsum([0, *map(len, found["next"])])
+            whole = {x: np.concatenate(found.pop(x)) for x in columns}
+            p = subtree([whole[w] for w in words], whole["next"], whole["learned"], whole["p"], whole["depth"]).astype("<f4")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "chunk": pa.array([r["chunk"] for r in group], pa.int32()),
+                    "owner": pa.array([owner] * len(group), pa.int32()),
+                    "p": pa.array([pack(p[a:b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
+                }
+            )
+
+    names = [name for name, _ in chunks]
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["chunk"]):
+            chunk = Chunk(folder, names[number], model)
+            ids, use = load(folder, chunk.name, "ids", "<i8"), load(folder, chunk.name, "use", "u1")
+            known, base, score = chunk.scores(owners, np.concatenate([unpack(r["p"], "<f4") for r in rows]).astype(float))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64(), mask=ids == NO_ID),
+                    pa.array(use == 0),
+                    pa.array(chunk.lengths, pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(np.full(len(ids), model.tokens), pa.int64()),
+                    pa.array(base, pa.float64()),
+                    pa.array(score, pa.float64()),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    binary = ", ".join(f"{x} binary" for x in columns)
+    sent = chunk_rows(spark, chunks).mapInArrow(send, f"owner int, chunk int, {binary}")
+    answered = (
+        sent.repartitionById(owners, F.col("owner")).sortWithinPartitions("owner", "chunk").mapInArrow(answer, "chunk int, owner int, p binary")
     )
-    found = saved.groupBy("channel").agg(F.sum("total"), F.sum("distinct"), F.sum("once")).collect()
-    del sent, summed, saved, table
-    drop_finished_shuffles(spark)
-    return {r[0]: (r[1], r[2], r[3]) for r in found}
+    # A chunk that sent nothing is to be scored too.
+    every = chunk_rows(spark, chunks).select("chunk", F.lit(-1).alias("owner"), F.lit(b"").alias("p"))
+    gathered = answered.unionByName(every).repartitionById(len(chunks), F.col("chunk"))
+    return gathered.sortWithinPartitions("chunk", "owner").mapInArrow(total, schema)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, large: int = LARGE
+) -> DataFrame:
     """One row per document: its words, how many are known, the base score and the model's."""
     bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, scratch_mark()
     folder = scratch_path(spark, "suffix-tree")
     ready = docs.select(
         F.col(doc_id).cast("long").alias("id"), learning(F.col(doc_id)).alias("learns"), text_or_empty(text).alias("text")
@@ -444,30 +610,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     chunks = write_chunks(ready, folder)
     if not chunks:
+        release(spark, mark)
         return spark.createDataFrame([], schema)
-    bits = min(64, int(np.ceil(np.log2(sum(n for _, n in chunks) + 1))) + SPARE_BITS)
-    model = Model(*exchange(spark, folder, chunks, Model(), ask_words)["w"], bits)
-    for ask in (ask_pairs, ask_contexts_and_triples, ask_longer_contexts):
-        exchange(spark, folder, chunks, model, ask)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                chunk = Chunk(folder, name, model)
-                ids, use = load(folder, name, "ids", "<i8"), load(folder, name, "use", "u1")
-                known, base, score = chunk.scores()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64(), mask=ids == NO_ID),
-                        pa.array(use == 0),
-                        pa.array(chunk.lengths, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(np.full(len(ids), int(model.tokens)), pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(score, pa.float64()),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    names = spark.createDataFrame(chunks, "name string, words long").select("name")
-    return names.repartition(len(chunks), "name").mapInArrow(finish, schema)
+    model = learn(spark, folder, chunks, depth, large)
+    return finish(score_chunks(spark, folder, chunks, model, schema), "scores", mark)
