@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -163,16 +163,71 @@ def test_base_score_equals_brute_force(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_next_word_distributions_sum_to_one(tmp_path):
-    """After every kept context the known words and the unknown one have all the probability."""
-    model = suffix_tree.Model(tokens=10, distinct=4, once=1)
-    counts = np.array([4.0, 3.0, 2.0, 1.0])
-    root = model.root(np.append(counts, 0))
-    assert math.isclose(root.sum(), 1)
-    after = np.array([3.0, 1.0, 0.0, 0.0, 0.0])
-    seen, n = 2, 4
-    p = (np.maximum(after - suffix_tree.DISCOUNT, 0) + suffix_tree.DISCOUNT * seen * root) / n
-    assert math.isclose(p.sum(), 1)
+def brute_tree(texts, learns, depth):
+    """The tree by the definition, in plain Python: the probability function, and the states kept."""
+    split = [[*(t or "").lower().encode().split(), b"\n"] for t in texts]
+    taught = [w for w, yes in zip(split, learns, strict=True) if yes]
+    words = Counter(w for ws in taught for w in ws)
+    tokens, unknown = sum(words.values()), (sum(n == 1 for n in words.values()) + 0.5) / (sum(words.values()) + 1)
+    after = defaultdict(Counter)
+    for ws in taught:
+        for i in range(1, len(ws)):
+            for d in range(1, min(depth, i) + 1):
+                after[tuple(ws[i - d : i])][ws[i]] += 1
+    states = {}
+
+    def p(context, word):
+        for d in range(len(context)):
+            if context[d:] in states:
+                return smoothed(context[d:], word, sum(after[context[d:]].values()), after[context[d:]][word])
+        return (1 - unknown) * words[word] / tokens if words[word] else unknown
+
+    def smoothed(context, word, n, count, seen=None):
+        seen = len(after[context]) if seen is None else seen
+        return (max(count - 0.75, 0) + 0.75 * seen * p(context[1:], word)) / n
+
+    for context in sorted(after, key=len):
+        n, gain = sum(after[context].values()), 0.0
+        if n < 2 or any(words[w] < 2 for w in context):
+            continue
+        for word, c in after[context].items():
+            parent = p(context[1:], word)
+            if c == 1:  # left out, the word is unseen here: it has the discounts of the others, times the parent's share of it
+                alone = max(0.75 * (len(after[context]) - 1), 0.25) / (n - 1) * parent
+            else:
+                alone = max(c - 1 - 0.75, 0.25) / (n - 1)
+            gain += c * (math.log(alone) - math.log(parent))
+        if gain >= 2.0:
+            states[context] = True
+    return split, p, states
+
+
+@pytest.mark.parametrize(("depth", "large", "chunk"), [(3, 500_000, 10**6), (3, 30, 300), (2, 5, 300), (4, 12, 500)])
+def test_model_score_equals_brute_force(spark, monkeypatch, depth, large, chunk):
+    """Also with several chunks and owners, and with most states too large for an owner."""
+    for name, value in (("CHUNK_WORDS", chunk), ("RUNS_A_PART", 400), ("KEYS_A_PART", 300)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rng = np.random.default_rng(2)
+    phrases = [" ".join(f"v{x}" for x in rng.integers(0, 15, 6)) for _ in range(12)]
+    texts = [" ".join(rng.choice(phrases, 4)) + " " + " ".join(f"v{x}" for x in (rng.pareto(1, 8) * 3).astype(int)) for _ in range(70)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, None, "", "only unknown words"])]
+    learns = [zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows]
+    split, p, states = brute_tree([t for _, t, *_ in rows], learns, depth)
+    wanted = {i: sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), w)) for k, w in enumerate(ws)) for (i, *_), ws in zip(rows, split, strict=True)}
+    found = {r.doc_id: r.score for r in score_documents(documents(spark, rows), depth=depth, large=large).collect()}
+    assert {len(x) for x in states} == set(range(1, depth + 1)) and len(found) == len(rows)
+    for i, score in wanted.items():
+        assert math.isclose(found[i], score, rel_tol=1e-5), (i, found[i], score)
+
+
+def test_next_word_distributions_sum_to_one():
+    """After kept states of one and of two words the known words and the unknown one have all the probability."""
+    learned = np.array([1.0, 6, 5, 0, 0, 9, 0, 0, 0, 0])  # next words 1..4 and the unknown one, after word 1 alone and after words 2, 1
+    following = np.array([1, 2, 3, 4, 0] * 2)
+    root = np.array([0.05, 0.15, 0.4, 0.3, 0.1] * 2)
+    words = [np.ones(10, int), np.array([0] * 5 + [2] * 5)]
+    p = suffix_tree.subtree(words, following, learned, root, np.zeros(10, np.int8))
+    assert math.isclose(p[:5].sum(), 1) and math.isclose(p[5:].sum(), 1) and p[5] > p[0] > root[0]
 
 
 def test_frequent_pairs_are_contexts_whatever_their_lift(spark):
