@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from dateloom.functions.columns import blank_to_null, value_of
 from dateloom.functions.vocabulary import FAMILY_OF, TYPES
 
+#: Rows that one task numbers, and stretches at most.
+ROWS_A_CELL, MOST_CELLS = 50_000, 1_000
 # Run states, review actions with the state they lead to, and admission errors in the order they are tested.
-ROWS_A_CELL = 50_000
 RUN_STATES = ["queued", "reading", "classifying", "validating", "done", "failed"]
 STATUS_OF = {"accept": "accepted", "correct": "corrected", "reject": "rejected", "reopen": "needs_review"}
 ADMISSION = (
@@ -48,8 +49,12 @@ def latest_run(runs: DataFrame, done_only: bool = False) -> DataFrame:
 
 
 def numbered(ids: DataFrame, key: str, out: str) -> DataFrame:
-    """Rows numbered from 1 in the order of a distinct integer key: sorted by stretches of it, with bases from their counts."""
-    cut = ids.withColumn("_cell", F.floor(F.col(key) / ROWS_A_CELL))
+    """Rows numbered from 1 in the order of a distinct integer key: sorted by stretches of it with about as many rows each, with bases from their counts."""
+    cells = min(MOST_CELLS, ids.count() // ROWS_A_CELL + 1)
+    steps = [i / cells for i in range(1, cells)]
+    edges = (ids.agg(F.percentile_approx(key, steps, 10 * MOST_CELLS)).first()[0] if steps else None) or []
+    cell = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e < F.col(key))) if edges else F.lit(0)
+    cut = ids.withColumn("_cell", cell)
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     place = F.row_number().over(Window.partitionBy("_cell").orderBy(key))

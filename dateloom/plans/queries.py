@@ -86,20 +86,20 @@ def x_ocr(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("o_orderkey", "normalized", "text", F.array_contains("review_reasons", "ocr_repaired").alias("repaired"), "label")
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS normalized FROM orders WHERE month(o_orderdate) IN (2, 3, 4, 6, 7, 8, 9, 11, 12)""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS normalized FROM orders""")
 def x_roman_ocr(spark: SparkSession, sf: str) -> DataFrame:
     """Roman months with I read as l, in capitals again after repair."""
     roman = F.element_at(F.array(*map(F.lit, synth.ROMAN)), F.month("o_orderdate"))
     noisy = F.when(F.length(roman) > 2, F.translate(roman, "I", "l")).otherwise(roman)
     text = F.concat(F.lit("Expiry "), F.date_format("o_orderdate", "dd"), F.lit("."), noisy, F.lit("."), F.date_format("o_orderdate", "yyyy"))
-    lines = texts(spark, sf).where(~F.month("o_orderdate").isin(1, 5, 10)).select("o_orderkey", text.alias("text"))
+    lines = texts(spark, sf).select("o_orderkey", text.alias("text"))
     return extraction.extract(lines).select("o_orderkey", "normalized")
 
 
-@query(f"""WITH {GOLD} SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS normalized FROM base WHERE o_orderkey % 2 = 0""")
+@query(f"""WITH {GOLD} SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS normalized FROM base""")
 def x_declared_order(spark: SparkSession, sf: str) -> DataFrame:
     """A declared order leaves one reading."""
-    lines = texts(spark, sf).where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("EXP "), F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
+    lines = texts(spark, sf).select("o_orderkey", F.concat(F.lit("EXP "), F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
     return extraction.extract(lines, order="dmy").select("o_orderkey", "normalized")
 
 
@@ -395,7 +395,7 @@ def l_offline(spark: SparkSession, sf: str) -> DataFrame:
 
 def suggestions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Pages with one ambiguous date, and label and missed-date suggestions of every kind by the order's key."""
-    orders = texts(spark, sf).where("o_orderkey % 10 = 0").withColumn("k", (F.col("o_orderkey") / 10 % 10).cast("int"))
+    orders = texts(spark, sf).withColumn("k", (F.col("o_orderkey") % 10).cast("int"))
     pages = orders.select(
         F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), "k", "o_orderdate",
         F.concat(F.lit("Expiry 03/04/2031 written DD/MM/YYYY\nSigned the "), F.date_format("o_orderdate", "d"), F.lit(" of "), F.date_format("o_orderdate", "MMMM"), F.lit(" in "), F.date_format("o_orderdate", "yyyy"), F.lit(" here")).alias("text"),
@@ -409,7 +409,7 @@ def suggestions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
         F.when(F.col("k") == 3, none).when(F.col("k") == 4, "03/04/2031").when(F.col("k") == 5, "Expiry 03/04/2031").when(F.col("k") == 6, "written MM/DD/YYYY").otherwise("written DD/MM/YYYY").alias("evidence"),
         F.lit(1.5).alias("confidence"), F.lit("as printed").alias("rationale"),
     )
-    second = label.where("document_id % 20 = 0").withColumn("seq", F.lit(2))
+    second = label.where("document_id % 20 < 10").withColumn("seq", F.lit(2))
     day = F.col("o_orderdate")
     quote = F.concat(F.date_format(day, "d"), F.lit(" of "), F.date_format(day, "MMMM"), F.lit(" in "), F.date_format(day, "yyyy"))
     missed = pages.select(
@@ -420,18 +420,18 @@ def suggestions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return pages, label.unionByName(second), missed, extraction.candidates(pages)
 
 
-K = "k AS (SELECT o_orderkey AS document_id, (o_orderkey // 10) % 10 AS k, o_orderdate FROM orders WHERE o_orderkey % 10 = 0)"
+K = "k AS (SELECT o_orderkey AS document_id, o_orderkey % 10 AS k, o_orderdate FROM orders)"
 
 
 @query(f"""WITH {K} SELECT document_id, 1 AS seq, 'label' AS kind, 'unknown candidate id' AS reason FROM k WHERE k = 0
-           UNION ALL SELECT document_id, 2, 'label', 'unknown candidate id' FROM k WHERE k = 0 AND document_id % 20 = 0
+           UNION ALL SELECT document_id, 2, 'label', 'unknown candidate id' FROM k WHERE k = 0 AND document_id % 20 < 10
            UNION ALL SELECT document_id, 1, 'label', 'date type not in taxonomy' FROM k WHERE k = 1
-           UNION ALL SELECT document_id, 2, 'label', 'date type not in taxonomy' FROM k WHERE k = 1 AND document_id % 20 = 0
-           UNION ALL SELECT document_id, 1, 'label', 'duplicate label for the same candidate' FROM k WHERE k > 1 AND document_id % 20 = 0
-           UNION ALL SELECT document_id, 1 + (document_id % 20 = 0)::INT, 'resolution', CASE k WHEN 2 THEN 'resolved value is not one of the candidate readings' WHEN 3 THEN 'resolved value given without evidence'
+           UNION ALL SELECT document_id, 2, 'label', 'date type not in taxonomy' FROM k WHERE k = 1 AND document_id % 20 < 10
+           UNION ALL SELECT document_id, 1, 'label', 'duplicate label for the same candidate' FROM k WHERE k > 1 AND document_id % 20 < 10
+           UNION ALL SELECT document_id, 1 + (document_id % 20 < 10)::INT, 'resolution', CASE k WHEN 2 THEN 'resolved value is not one of the candidate readings' WHEN 3 THEN 'resolved value given without evidence'
                WHEN 4 THEN 'evidence only repeats the date' WHEN 5 THEN 'evidence does not show the day/month order' ELSE 'evidence not found on the page' END FROM k WHERE k BETWEEN 2 AND 6
-           UNION ALL SELECT document_id, 2 + (document_id % 20 = 0)::INT, 'missed_date', 'date type not in taxonomy' FROM k WHERE k = 6
-           UNION ALL SELECT document_id, 1 + (document_id % 20 = 0)::INT, 'missed_date', CASE k WHEN 7 THEN 'could not parse the text as one date' WHEN 8 THEN 'not found in the page text' ELSE 'duplicate of p1-c1' END FROM k WHERE k >= 7""")
+           UNION ALL SELECT document_id, 2 + (document_id % 20 < 10)::INT, 'missed_date', 'date type not in taxonomy' FROM k WHERE k = 6
+           UNION ALL SELECT document_id, 1 + (document_id % 20 < 10)::INT, 'missed_date', CASE k WHEN 7 THEN 'could not parse the text as one date' WHEN 8 THEN 'not found in the page text' ELSE 'duplicate of p1-c1' END FROM k WHERE k >= 7""")
 def a_discards(spark: SparkSession, sf: str) -> DataFrame:
     """What is refused of suggestions, in order, with the reason."""
     pages, labels, missed, found = suggestions(spark, sf)
@@ -450,7 +450,7 @@ def a_verified(spark: SparkSession, sf: str) -> DataFrame:
     return dates.select("document_id", "id", "raw_text", "date_type", "resolved_value", "evidence", "source", "confidence", "qualifier")
 
 
-@query(f"""WITH {K}, l AS (SELECT document_id, k, s FROM k, (VALUES (1), (2)) AS v(s) WHERE s = 1 OR document_id % 20 = 0)
+@query(f"""WITH {K}, l AS (SELECT document_id, k, s FROM k, (VALUES (1), (2)) AS v(s) WHERE s = 1 OR document_id % 20 < 10)
            SELECT document_id, s AS seq, CASE WHEN k = 0 THEN 'unknown candidate id' WHEN k = 1 THEN 'date type not in taxonomy' WHEN s = 2 THEN 'duplicate label for the same candidate' END AS reason FROM l""")
 def l_judge(spark: SparkSession, sf: str) -> DataFrame:
     """Labels judged as one join, without the pages."""
@@ -466,6 +466,28 @@ def l_apply(spark: SparkSession, sf: str) -> DataFrame:
     return labelling.apply_labels(found, pages, labels)[0].select("document_id", "source", "date_type", "family", "confidence")
 
 
+@query(f"""WITH p AS (SELECT o_orderkey AS document_id, strftime(o_orderdate, '%d,') || ({synth.ROMAN!r})[month(o_orderdate)] || strftime(o_orderdate, '.%Y') AS printed,
+                  strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders)
+           SELECT document_id, CASE WHEN document_id % 3 > 0 THEN printed END AS raw_text, CASE WHEN document_id % 3 > 0 THEN iso END AS normalized,
+                  CASE WHEN document_id % 3 > 0 THEN 7 END::INT AS char_start, CASE WHEN document_id % 3 = 0 THEN 'not found in the page text' END AS reason FROM p""")
+def a_relocated(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: dates that a transcription reads stand where the page prints them, in its own spelling; every third page prints another year."""
+    roman, d = F.element_at(F.array(*map(F.lit, synth.ROMAN)), F.month("o_orderdate")), F.col("o_orderdate")
+    year = F.date_format(d, "yyyy")
+    other = F.when(F.col("o_orderkey") % 3 == 0, (year.cast("int") + 1).cast("string")).otherwise(year)
+    pages = texts(spark, sf).select(
+        F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"),
+        F.concat(F.lit("Sealed "), F.date_format(d, "dd"), F.lit(","), roman, F.lit("."), other, F.lit(" in Bonn")).alias("text"),
+        F.concat(F.lit("Sealed "), F.date_format(d, "dd"), F.lit("."), roman, F.lit("."), year).alias("transcription"),
+    )
+    rules = extraction.candidates(pages)
+    found = rules.unionByName(extraction.transcription_candidates(pages, rules), allowMissingColumns=True)
+    dates, refused = batch.verify_heard(pages, found)
+    none = F.lit(None).cast("string")
+    kept = dates.select("document_id", "raw_text", "normalized", "char_start", none.alias("reason"))
+    return kept.unionByName(refused.select("document_id", none.alias("raw_text"), none.alias("normalized"), F.lit(None).cast("int").alias("char_start"), "reason"))
+
+
 # --- checks --------------------------------------------------------------------------------------
 
 
@@ -591,17 +613,42 @@ def v_effective(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("document_id", "id", F.date_format("effective_value", "yyyy-MM-dd").alias("effective"), "value")
 
 
-@query()
+RULES = "v_expiry_before_manufacture v_retest_before_manufacture v_signature v_chain v_expired v_future v_ambiguous".split()
+
+
+@query("SELECT rule, severity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT rule, severity FROM ({ORACLES[r]})" for r in RULES) + ") GROUP BY ALL")
 def v_all_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """V1-V8 as one report in order."""
+    """V1-V8 as one report in order; these dates hold no numeric one, so no order to disagree with."""
     found = checks.check_dates(typed_dates(spark, sf), TODAY)
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- documents, runs and reviews -----------------------------------------------------------------
 
+@query("""SELECT o_orderkey AS document_id, 'Expiry ' || strftime(o_orderdate, '%Y-%m-%d') || ' is not after manufacture ' || strftime(o_orderdate, '%Y-%m-%d')
+           || CASE severity WHEN 'error' THEN '.' ELSE '; these dates may belong to different lots.' END AS message, severity, date_ids
+           FROM orders, (VALUES ('1,3', 'error'), ('2,4', 'error'), ('1,4', 'warning'), ('2,3', 'warning')) AS v(date_ids, severity)""")
+def v_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """V9: two lots on a page, whose dates are neighbours by their boxes and not by their offsets in the text."""
+    spots = [(1, "manufacture_date", 0, 0.0), (2, "manufacture_date", 100, 500.0), (3, "expiry_date", 110, 20.0), (4, "expiry_date", 10, 520.0)]
+    of = lambda i, kind, at, y: F.struct(
+        F.lit(i).alias("id"), F.lit(kind).alias("date_type"), F.lit(at).alias("char_start"),
+        F.struct(F.lit(0.0).alias("x0"), F.lit(y).alias("y0"), F.lit(90.0).alias("x1"), F.lit(y + 15).alias("y1")).alias("bbox"),
+    )
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.explode(F.array(*(of(*x) for x in spots))).alias("s"))
+    none = F.lit(None).cast("string")
+    dates = rows.select(
+        "document_id", "s.*", F.lit(1).alias("page"), F.col("day").alias("raw_text"), F.col("day").alias("normalized"), F.array("day").alias("candidates"),
+        F.lit("day").alias("precision"), none.alias("qualifier"), none.alias("resolved_value"),
+    )
+    found = checks.not_after(checks.prepared(dates), "expiry_before_manufacture", "manufacture_date", "expiry_date", 1)
+    return found.select("document_id", "message", "severity", F.array_join("date_ids", ",").alias("date_ids"))
+
+
 #: Review events from the event stream: the user is the date, the event type the action.
-ACTION = "CASE event_type WHEN 'click' THEN 'accept' WHEN 'view' THEN 'reject' WHEN 'purchase' THEN 'correct' WHEN 'error' THEN 'reopen' ELSE 'publish' END"
+ACTION = "CASE event_type WHEN 'click' THEN 'accept' WHEN 'view' THEN 'reject' WHEN 'purchase' THEN 'correct' WHEN 'error' THEN 'reopen' ELSE 'accept' END"
+#: The same, with signups asking for what is no action.
+ASKED = ACTION.replace("ELSE 'accept'", "ELSE 'publish'")
 EVENT_COLUMNS = [
     "event_id AS id", "user_id AS date_id", f"{ACTION} AS action",
     f"CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN CASE event_id % 2 WHEN 0 THEN 'audit_date' ELSE 'issue_date' END END AS new_type",
@@ -612,7 +659,7 @@ EVENTS = f"""
     ev AS (SELECT event_id AS id, user_id AS date_id, {ACTION} AS action,
         CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN CASE event_id % 2 WHEN 0 THEN 'audit_date' ELSE 'issue_date' END END AS new_type,
         CASE WHEN event_type = 'purchase' AND event_id % 3 > 0 THEN concat('20', lpad(CAST(event_id % 30 + 10 AS VARCHAR), 2, '0'), '-01-15') END AS new_value,
-        concat('r', CAST(event_id % 5 AS VARCHAR)) AS reviewer FROM events WHERE event_type <> 'signup'),
+        concat('r', CAST(event_id % 5 AS VARCHAR)) AS reviewer FROM events),
     users AS (SELECT DISTINCT user_id AS id FROM events),
     dates AS (SELECT id, id % 20 + 1 AS run_id, id % 4 + 1 AS page, id * 10 AS char_start, 'day' AS precision,
         CASE id % 5 WHEN 0 THEN NULL ELSE '2024-05-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') END AS normalized, ({TYPES!r})[(id % {len(TYPES)}) + 1] AS date_type FROM users)
@@ -620,7 +667,7 @@ EVENTS = f"""
 
 
 def review_events(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "events").where("event_type <> 'signup'").selectExpr(*EVENT_COLUMNS, "ts AS at")
+    return t(spark, sf, "events").selectExpr(*EVENT_COLUMNS, "ts AS at")
 
 
 def ledger_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -764,7 +811,7 @@ def q_document_detail(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "run_id", "run_status", F.size("page_sizes").alias("n_pages"))
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT event_id, user_id AS date_id, {ACTION} AS action, CASE event_id % 11 WHEN 1 THEN ' ' ELSE 'r' END AS reviewer, CASE event_id % 11 WHEN 2 THEN NULL ELSE 'why' END AS reason,
+@query(f"""WITH {EVENTS}, r AS (SELECT event_id, user_id AS date_id, {ASKED} AS action, CASE event_id % 11 WHEN 1 THEN ' ' ELSE 'r' END AS reviewer, CASE event_id % 11 WHEN 2 THEN NULL ELSE 'why' END AS reason,
                CASE event_id % 11 WHEN 3 THEN 'made_up' END AS new_type, CASE event_id % 11 WHEN 4 THEN '2024-02-31' WHEN 5 THEN '2024-02' WHEN 6 THEN '2024-02-03' END AS new_value FROM events)
            SELECT event_id, CASE WHEN action = 'publish' THEN 'unknown_action' WHEN event_id % 11 = 1 THEN 'reviewer_missing' WHEN event_id % 11 = 2 THEN 'reason_missing'
                WHEN action = 'correct' AND new_type IS NULL AND new_value IS NULL THEN 'correction_empty' WHEN action <> 'correct' AND (new_type IS NOT NULL OR new_value IS NOT NULL) THEN 'change_without_correction'
@@ -774,7 +821,7 @@ def q_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Q12: the first reason why a review is refused."""
     rest = F.col("event_id") % 11
     requests = t(spark, sf, "events").select(
-        "event_id", F.col("user_id").alias("date_id"), F.expr(ACTION).alias("action"), F.when(rest == 1, " ").otherwise("r").alias("reviewer"), F.when(rest != 2, "why").alias("reason"),
+        "event_id", F.col("user_id").alias("date_id"), F.expr(ASKED).alias("action"), F.when(rest == 1, " ").otherwise("r").alias("reviewer"), F.when(rest != 2, "why").alias("reason"),
         F.when(rest == 3, "made_up").alias("new_type"), F.when(rest == 4, "2024-02-31").when(rest == 5, "2024-02").when(rest == 6, "2024-02-03").alias("new_value"),
     )
     dates = ledger_dates(spark, sf).where("id % 7 <> 0").withColumn("precision", F.when(F.col("id") % 2 == 0, "month").otherwise("day"))
@@ -1117,13 +1164,13 @@ def s_original(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", found.alias("b")).select("p_partkey", F.round("b.x0", 6).alias("x0"), F.round("b.y0", 6).alias("y0"))
 
 
-@query("""SELECT o_orderkey AS document_id, strftime(o_orderdate, '%Y-%m-%d') AS normalized, 'expiry_date' AS date_type, 0.0::DOUBLE AS x0, 0::INT AS flags FROM orders WHERE o_orderkey % 50 = 0""")
+@query("""SELECT o_orderkey AS document_id, strftime(o_orderdate, '%Y-%m-%d') AS normalized, 'expiry_date' AS date_type, 0.0::DOUBLE AS x0, 0::INT AS flags FROM orders""")
 def s_process_json(spark: SparkSession, sf: str) -> DataFrame:
     """Page layouts as JSON in, dates and flags as JSON out."""
     text = F.concat(F.lit("Expiry "), F.date_format("o_orderdate", "d MMM yyyy"))
     word = F.concat(F.lit('{"text":"Expiry","bbox":{"x0":0,"y0":0,"x1":9,"y1":9},"char_start":0,"char_end":6,"confidence":null}'), F.lit(',{"text":"date","bbox":{"x0":0,"y0":9,"x1":9,"y1":19},"char_start":7,"char_end":20,"confidence":null}'))
     page = F.concat(F.lit('[{"n":1,"width":100,"height":100,"text":"'), text, F.lit('","text_source":"pdf","words":['), word, F.lit('],"transcription":null}]'))
-    layouts = texts(spark, sf).where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("document_id"), page.alias("layouts_json"))
+    layouts = texts(spark, sf).select(F.col("o_orderkey").alias("document_id"), page.alias("layouts_json"))
     kind = "struct<dates:array<struct<normalized:string,date_type:string,bbox:struct<x0:double>>>,flags:array<struct<rule:string>>>"
     parsed = batch.process_json(layouts, TODAY).select("document_id", F.from_json("result", kind).alias("r"))
     one = F.get("r.dates", F.lit(0))

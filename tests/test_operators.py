@@ -221,3 +221,11 @@ def test_new_runs_are_numbered_after_the_last(spark):
     docs = spark.createDataFrame([(5,), (70_000,), (70_001,)], "id long")
     runs = spark.createDataFrame([(9, 5, "done")], "id long, document_id long, status string")
     assert rows(ledger.create_runs(docs, runs, "v"), "id", "document_id") == [(10, 5), (11, 70_000), (12, 70_001)]
+
+
+def test_rows_are_numbered_over_many_stretches(spark, monkeypatch):
+    """Keys far apart, and more rows than stretches."""
+    monkeypatch.setattr(ledger, "ROWS_A_CELL", 7)
+    keys = [i * i * 1_000 for i in range(100)]
+    found = ledger.numbered(spark.createDataFrame([(k,) for k in keys], "id long"), "id", "nr").collect()
+    assert sorted((r.id, r.nr) for r in found) == [(k, i) for i, k in enumerate(keys, 1)]

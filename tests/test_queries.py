@@ -31,9 +31,6 @@ def sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sql, name):
     found = QUERIES[name](spark, DIR)
-    if name not in ORACLES:
-        assert found.count() >= 0
-        return
     wanted = sql.sql(ORACLES[name])
     assert sorted(found.columns) == sorted(wanted.columns)
     assert canonical(found.columns, found.collect()) == canonical(wanted.columns, wanted.fetchall())
