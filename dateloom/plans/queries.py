@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dateloom.functions import columns as fc
@@ -182,20 +182,24 @@ def pages_of_orders(spark: SparkSession, sf: str) -> DataFrame:
     """A page per order: a heading, an expiry date wrapped after its month, and words on a grid of characters."""
     d = F.col("o_orderdate")
     lines = F.array(F.lit("Certificate of analysis"), F.concat(F.lit("Expiry date: "), F.date_format(d, "MMMM")), F.concat(F.date_format(d, "d, yyyy"), F.lit(" end")))
-    rows = texts(spark, sf).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), "o_orderdate", lines.alias("lines"))
-    exploded = rows.select("document_id", F.posexplode("lines").alias("row", "line"))
-    words = exploded.select("document_id", "row", "line", F.posexplode(F.split("line", " ")).alias("k", "w"))
-    col = F.length(F.array_join(F.slice(F.split("line", " "), 1, F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
-    text = F.array_join("lines", "\n")
-    placed = words.withColumn("col", col).groupBy("document_id").agg(F.collect_list(F.struct("row", "col", "w")).alias("ws"))
-    joined = rows.join(placed, "document_id").withColumn("text", text)
-    before = lambda r: F.aggregate(F.slice("lines", 1, r), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    word = lambda w: F.struct(
-        w["w"].alias("text"), (w["col"] * 10.0).alias("x0"), (w["row"] * 20.0).alias("y0"), ((w["col"] + F.length(w["w"])) * 10.0).alias("x1"),
-        (w["row"] * 20.0 + 15).alias("y1"), (before(w["row"]) + w["col"]).cast("int").alias("char_start"),
-        (before(w["row"]) + w["col"] + F.length(w["w"])).cast("int").alias("char_end"), F.lit(0.9).alias("confidence"),
-    )
-    return joined.select("document_id", "n", "text", F.transform(F.array_sort("ws"), word).alias("words"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    rows = texts(spark, sf).select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("n"), lines.alias("lines"))
+
+    def words(line: Column, row: Column) -> Column:
+        parts = F.split(line, " ")
+        before = F.aggregate(F.slice("lines", 1, row), F.lit(0), lambda a, x: a + F.length(x) + 1)
+
+        def word(w: Column, k: Column) -> Column:
+            col = F.length(F.array_join(F.slice(parts, 1, k), " ")) + F.when(k > 0, 1).otherwise(0)
+            return F.struct(
+                w.alias("text"), (col * 10.0).alias("x0"), (row * 20.0).alias("y0"), ((col + F.length(w)) * 10.0).alias("x1"), (row * 20.0 + 15).alias("y1"),
+                (before + col).cast("int").alias("char_start"), (before + col + F.length(w)).cast("int").alias("char_end"), F.lit(0.9).alias("confidence"),
+            )
+
+        return F.transform(parts, word)
+
+    return rows.select(
+        "document_id", "n", F.array_join("lines", "\n").alias("text"), F.flatten(F.transform("lines", words)).alias("words"), F.lit(1000).alias("width"), F.lit(1000).alias("height")
+    )
 
 
 PAGE_SQL = """
