@@ -18,8 +18,8 @@ into blocks, and each pair of blocks is a task's own. Components of the links be
 fingerprints follow by star contraction, and the smallest id of each comes last. Equal
 fingerprints are one from the start, so copies cost nothing.
 
-``near_copies`` looks further: fingerprints of single words, which a few changed words
-move by a few bits, propose links, and shingles of the texts decide.
+``near_copies`` looks further: two fingerprints of shingles of two words, which a few
+changed words move by a few bits, propose links, and shingles of the texts decide.
 
 Edge cases: a null, empty or wordless text has fingerprint 0 and links as any
 other; texts shorter than a shingle are one shingle; equal ids each get their row; a
@@ -43,6 +43,10 @@ from dateloom.llm.exact_dedup import collapse_blanks
 from dateloom.llm.golay import nearby, nearest
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: Near copies: words of a shingle and number of the fingerprints that propose links.
+COPY_SHINGLE, COPY_TABLES = 2, 2
+#: Fixed odd multiplier for scattering hashes anew.
+SCATTER = np.uint64(0xD6E8FEB86659FD93)
 #: (shift, width) of the three segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -56,19 +60,23 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 NEAREST, NEAR = 0, 1
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64 values."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    values = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    octets = np.array(values, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the values."""
+    octets = values.astype(">u8").view(np.uint8).reshape(-1, 8)
     if len(values) < 64:
         ones = np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
     else:
@@ -76,6 +84,11 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(values)).tobytes(), "big")
 
 
+def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """A bit is 1 if it is set in over half of the shingles' XXH64 values."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The 64-bit fingerprint as a (signed) long."""
 
@@ -87,6 +100,24 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return of(text)
 
 
+def fingerprints(text: Column, shingle: int, tables: int) -> Column:
+    """An array of fingerprints that err independently: the first is ``fingerprint``, the others are of the same hashes scattered anew."""
+
+    def both(text: str | None) -> Iterator[int]:
+        values = shingle_hashes(text, shingle)
+        for _ in range(tables):
+            yield majority(values)
+            values = values * SCATTER
+            values ^= values >> np.uint64(29)
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = np.array([list(both(t.as_py())) for t in texts], dtype=np.uint64).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, tables, dtype=np.int32)), pa.array(found))
+
+    return of(text)
+
+
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of the fingerprints (int64, key * 2 + role) and the fingerprint of each."""
     whole = prints.view(np.uint64)
@@ -352,29 +383,32 @@ def similarity(a: Column, b: Column, shingle: int) -> Column:
 
 
 def near_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 8
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 12
 ) -> DataFrame:
     """(id, same, keep_id, keep_same) of all documents: the document that stays for each, and ``same_words`` of both.
 
-    Candidates are texts whose fingerprints of single words share a key and differ in
-    ``distance`` bits at most, and texts of one fingerprint; each link is verified on the
-    texts: their sets of ``shingle`` words must have a Jaccard similarity of ``least`` or more.
-    The smallest id of what verified links connect stays (null ids last, then by ``same``).
+    Candidates are texts of which one of ``COPY_TABLES`` fingerprints, of shingles of two words,
+    shares a key and differs in ``distance`` bits at most, or is the same; each link is verified
+    on the texts: their sets of ``shingle`` words must have a Jaccard similarity of ``least`` or
+    more. The smallest id of what verified links connect stays (null ids last, then by ``same``).
     """
     bound_batches(docs.sparkSession)
     mark = scratch_mark()
     whole = text_or_empty(text)
-    marked = materialize(
-        docs.select(F.col(doc_id).alias("id"), same_words(whole).alias("same"), fingerprint(F.col(text), 1).alias("print")), "copy-prints"
-    )
+    prints = fingerprints(F.col(text), COPY_SHINGLE, COPY_TABLES)
+    marked = materialize(docs.select(F.col(doc_id).alias("id"), same_words(whole).alias("same"), prints.alias("prints")), "copy-prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("head")
-    nodes = materialize(marked.groupBy("same").agg(F.min("print").alias("print"), first), "copy-nodes")
-    prints = materialize(nodes.groupBy("print").agg(F.min("same").alias("rep")), "copy-reps")
-    near = near_links(prints, distance)
-    side = lambda name: prints.select(F.col("print").alias(name), F.col("rep").alias(f"{name}_node"))
-    between = near.join(side("a"), "a").join(side("b"), "b").select("a_node", "b_node")
-    within = nodes.join(prints, "print").where(F.col("same") != F.col("rep")).select(F.col("same").alias("a_node"), F.col("rep").alias("b_node"))
-    links = materialize(between.unionByName(within), "copy-candidates")
+    nodes = materialize(marked.groupBy("same").agg(F.min("prints").alias("prints"), first), "copy-nodes")
+    proposed = None
+    for table in range(COPY_TABLES):
+        own = nodes.select("same", F.col("prints")[table].alias("print"))
+        reps = materialize(own.groupBy("print").agg(F.min("same").alias("rep")), "copy-reps")
+        side = lambda name: reps.select(F.col("print").alias(name), F.col("rep").alias(f"{name}_node"))  # noqa: E731, B023
+        between = near_links(reps, distance).join(side("a"), "a").join(side("b"), "b").select("a_node", "b_node")
+        within = own.join(reps, "print").where(F.col("same") != F.col("rep")).select(F.col("same").alias("a_node"), F.col("rep").alias("b_node"))
+        found = between.unionByName(within)
+        proposed = found if proposed is None else proposed.unionByName(found)
+    links = materialize(proposed.select(F.least("a_node", "b_node").alias("a_node"), F.greatest("a_node", "b_node").alias("b_node")).distinct(), "copy-candidates")
     ends = links.select(F.col("a_node").alias("same")).union(links.select("b_node")).distinct()
     texts = docs.select(same_words(whole).alias("same"), whole.alias("whole")).join(ends, "same", "left_semi")
     texts = materialize(texts.groupBy("same").agg(F.min("whole").alias("whole")), "copy-texts")
