@@ -527,8 +527,9 @@ def learn(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], depth
     return model
 
 
-#: Types of what a run has besides its words: how often it was learned, its probability so far, the depth reached.
-RUN_EXTRAS = (("learned", "<i8"), ("p", "<f4"), ("depth", "i1"))
+#: Types of what goes with the words of runs: how often each was learned and the depth reached; the probability so far of
+#: those that reached any, and the learning counts of the different next words, in order, from which the others have theirs.
+RUN_EXTRAS = (("learned", "<i8"), ("depth", "i1"), ("p", "<f4"), ("counts", "<i8"))
 
 
 def score_chunks(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], model: Model, schema: str) -> DataFrame:
@@ -542,13 +543,20 @@ def score_chunks(spark: SparkSession, folder: str, chunks: list[tuple[str, int]]
             chunk = Chunk(folder, row["name"], model)
             sent, number, place, owner, p, depth = chunk.runs(owners)
             values = {f"w{d}": chunk.before[d - 1][place] for d in range(1, model.depth + 1)}
-            values |= {"next": chunk.next[place], "p": p[place].astype("<f4"), "depth": depth[place]}
+            values |= {"next": chunk.next[place], "depth": depth[place]}
+            counts, p = chunk.words[chunk.tokens[chunk.at[place]], 0], p[place].astype("<f4")
             values["learned"] = np.bincount(number[chunk.use[chunk.at[sent]]], minlength=len(place)).astype(np.int64)
             cut = np.searchsorted(owner, np.arange(owners + 1))
             used = [o for o in range(owners) if cut[o] < cut[o + 1]]
-            packed = {x: pa.array([pack(values[x][cut[o] : cut[o + 1]]) for o in used], pa.binary()) for x in columns}
+            packed = {x: [pack(v[cut[o] : cut[o + 1]]) for o in used] for x, v in values.items()}
+            packed |= {"p": [], "counts": []}
+            for of in (slice(cut[o], cut[o + 1]) for o in used):
+                _, first = np.unique(values["next"][of], return_index=True)
+                packed["counts"].append(pack(counts[of][first]))
+                packed["p"].append(pack(p[of][values["depth"][of] > 0]))
             yield pa.RecordBatch.from_pydict(
-                {"owner": pa.array(used, pa.int32()), "chunk": pa.array([row["chunk"]] * len(used), pa.int32()), **packed}
+                {"owner": pa.array(used, pa.int32()), "chunk": pa.array([row["chunk"]] * len(used), pa.int32())}
+                | {x: pa.array(packed[x], pa.binary()) for x in columns}
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,7 +564,11 @@ def score_chunks(spark: SparkSession, folder: str, chunks: list[tuple[str, int]]
             group = list(rows)
             found = {x: [unpack(r[x], dtypes[x]) for r in group] for x in columns}
             edges = np.cumsum([0, *map(len, found["next"])])
-            whole = {x: np.concatenate(found.pop(x)) for x in columns}
+            for i, counts in enumerate(found.pop("counts")):
+                p = model.root(counts[np.unique(found["next"][i], return_inverse=True)[1]])
+                p[found["depth"][i] > 0] = found["p"][i]
+                found["p"][i] = p
+            whole = {x: np.concatenate(found.pop(x)) for x in list(found)}
             p = subtree([whole[w] for w in words], whole["next"], whole["learned"], whole["p"], whole["depth"]).astype("<f4")
             yield pa.RecordBatch.from_pydict(
                 {
