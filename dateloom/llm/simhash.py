@@ -297,9 +297,8 @@ def key_rows(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "print"])
 
     tasks = -(-prints.count() // PRINTS_A_TASK) or 1
-    return prints.select("print").repartition(tasks).mapInArrow(keys, "key long, print long").repartition(
-        max(tasks, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.shiftright("key", 1)
-    )
+    # As many tasks compare them: each leaves out what it has connected, so more tasks than the rows need would only repeat links.
+    return prints.select("print").repartition(tasks).mapInArrow(keys, "key long, print long").repartition(tasks, F.shiftright("key", 1))
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
