@@ -1,77 +1,17 @@
-"""What the corpus operators share: scratch tables in the shared folder and gapless numbering.
-
-Scratch tables go under ``spark.checkpoint.dir``, the folder that driver and
-executors share; a folder of our own is set only where a session has none
-(local runs and tests).
-"""
+"""What the corpus operators share: gapless numbering, and small columns; scratch tables are those of ``dateloom.scratch``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dateloom.scratch import delete_path, finish, materialize, release, scratch_mark, scratch_path, shared_root  # noqa: F401
+
 #: ASCII white space as a character class, for Java's and Python's regular expressions.
 BLANK = r"[\x20\x09-\x0D]"
 
-_scratch: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, a folder of our own, for local masters only."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("dateloom.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="dateloom-")
-        spark.conf.set("dateloom.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; ``release`` deletes it."""
-    path = f"{shared_root(spark)}/dateloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    _scratch.append(path)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def scratch_mark() -> int:
-    """How many scratch tables there are now, for ``release``."""
-    return len(_scratch)
-
-
-def release(spark: SparkSession, since: int = 0, keep: list[str] | None = None) -> None:
-    """Delete the scratch tables made since ``scratch_mark``, but for ``keep``. Call it when no DataFrame still reads them."""
-    kept = [p for p in _scratch[since:] if p in (keep or [])]
-    for path in _scratch[since:]:
-        if path not in kept:
-            delete_path(spark, path)
-    _scratch[since:] = kept
-
-
-def finish(df: DataFrame, tag: str, since: int) -> DataFrame:
-    """``df`` written to the shared folder, and all scratch tables made since ``scratch_mark`` but that one deleted."""
-    out = materialize(df, tag)
-    release(df.sparkSession, since, keep=_scratch[-1:])
-    return out
-
-
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Keep the batches of text that go to Python at ``most`` bytes or less, however long the texts are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
