@@ -18,8 +18,9 @@ into blocks, and each pair of blocks is a task's own. Components of the links be
 fingerprints follow by star contraction, and the smallest id of each comes last. Equal
 fingerprints are one from the start, so copies cost nothing.
 
-``near_copies`` looks further: two fingerprints of shingles of two words, which a few
-changed words move by a few bits, propose links, and shingles of the texts decide.
+``near_copies`` links by the similarity of texts: two fingerprints of shingles of two words, which a
+few changed words move by a few bits, propose most links, an exact similarity join all others
+(``overlap``), and shingles of the texts decide.
 
 Edge cases: a null, empty or wordless text has fingerprint 0 and links as any
 other; texts shorter than a shingle are one shingle; equal ids each get their row; a
@@ -37,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dateloom.llm import overlap
 from dateloom.llm.common import ascii_lower, bound_batches, finish, materialize, scratch_mark, text_or_empty
 from dateloom.llm.components import components
 from dateloom.llm.exact_dedup import collapse_blanks
@@ -45,6 +47,8 @@ from dateloom.llm.golay import nearby, nearest
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Near copies: words of a shingle and number of the fingerprints that propose links.
 COPY_SHINGLE, COPY_TABLES = 2, 2
+#: Rounds that link each text to the nearest one of another component, before all pairs left between components are put to the test.
+NEAREST_ROUNDS = 2
 #: Fixed odd multiplier for scattering hashes anew.
 SCATTER = np.uint64(0xD6E8FEB86659FD93)
 #: (shift, width) of the three segments.
@@ -54,6 +58,8 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 SMALL_GROUP = 24
 #: Rows of a key that one task compares, and fingerprints whose keys one task makes.
 GROUP_ROWS, PRINTS_A_TASK = 500_000, 20_000
+#: Texts that one task fingerprints.
+TEXTS_A_TASK = 4_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Roles in a group, in the low bits of a key: A meets A and B, and so does no other.
@@ -386,36 +392,70 @@ def near_copies(
 ) -> DataFrame:
     """(id, same, keep_id, keep_same) of all documents: the document that stays for each, and ``same_words`` of both.
 
-    Candidates are texts of which one of ``COPY_TABLES`` fingerprints, of shingles of two words,
-    shares a key and differs in ``distance`` bits at most, or is the same; each link is verified
-    on the texts: their sets of ``shingle`` words must have a Jaccard similarity of ``least`` or
-    more. The smallest id of what verified links connect stays (null ids last, then by ``same``).
+    Links are all pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of
+    ``least`` or more. A pair of that similarity shares a shingle of its prefixes (``overlap``), so
+    texts without such a shingle have no link and go no further. Of the others, those of which one
+    of ``COPY_TABLES`` fingerprints, of shingles of two words, shares a key and differs in
+    ``distance`` bits at most, or is the same, are linked first, each to the nearest; then every text is
+    linked to its nearest one of another component, ``NEAREST_ROUNDS`` times; at last all pairs
+    left between components are. Every link is verified on the texts. The smallest id of what links
+    connect stays (null ids last, then by ``same``).
     """
     bound_batches(docs.sparkSession)
     mark = scratch_mark()
     whole = text_or_empty(text)
-    prints = fingerprints(F.col(text), COPY_SHINGLE, COPY_TABLES)
-    marked = materialize(docs.select(F.col(doc_id).alias("id"), same_words(whole).alias("same"), prints.alias("prints")), "copy-prints")
+    marked = materialize(docs.select(F.col(doc_id).alias("id"), same_words(whole).alias("same")), "copy-ids")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("head")
-    nodes = materialize(marked.groupBy("same").agg(F.min("prints").alias("prints"), first), "copy-nodes")
+    nodes = materialize(marked.groupBy("same").agg(first), "copy-nodes")
+    shared = materialize(overlap.shared_prefixes(docs, same_words(whole), whole, shingle, least), "copy-prefixes")
+    ends = materialize(shared.select(F.col("node").alias("same")).distinct(), "copy-ends")
+    dealt = docs.select(same_words(whole).alias("same"), whole.alias("whole")).repartition(-(-marked.count() // TEXTS_A_TASK) or 1, "same")
+    texts = dealt.join(ends.hint("merge"), "same", "left_semi")
+    texts = texts.groupBy("same").agg(F.min("whole").alias("whole"))
+    prints = fingerprints(F.col("whole"), COPY_SHINGLE, COPY_TABLES).alias("prints")
+    texts = materialize(texts.select("same", "whole", prints, overlap.sketch_of(F.col("whole"), shingle).alias("of")), "copy-texts")
+    own = lambda name: texts.select(F.col("same").alias(f"{name}_node"), F.col("whole").alias(name))
+    verified = None
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal verified
+        good = pairs.join(own("a"), "a_node").join(own("b"), "b_node").where(similarity(F.col("a"), F.col("b"), shingle) >= least)
+        good = materialize(good.select("a_node", "b_node"), "copy-links")
+        verified = good if verified is None else verified.unionByName(good)
+
+    verify(materialize(print_links(texts, distance), "copy-candidates"))
+    known = texts.select(F.col("same").alias("node"), "of.size", "of.sketch")
+    for turn in range(NEAREST_ROUNDS + 1):
+        roots = components(verified, "a_node", "b_node")
+        known = materialize(known.select("node", "size", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "copy-sketches")
+        rows = shared.join(known, "node")
+        pairs = materialize(overlap.proposals(rows, least, nearest=turn < NEAREST_ROUNDS), "copy-candidates")
+        if not pairs.take(1):
+            break
+        verify(pairs)
+        # A text without a pair now has none after more links.
+        open_ = pairs.select(F.col("a_node").alias("node")).union(pairs.select("b_node")).distinct()
+        known = known.join(open_, "node", "left_semi")
+    roots = components(verified, "a_node", "b_node")
+    rooted = nodes.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "head", F.coalesce("root", "same").alias("root"))
+    rooted = materialize(rooted, "copy-roots")
+    kept = rooted.groupBy("root").agg(F.min("head").alias("kept"))
+    labels = rooted.join(kept, "root").select("same", F.col("kept.id").alias("keep_id"), F.col("kept.same").alias("keep_same"))
+    return finish(marked.join(labels, "same").select("id", "same", "keep_id", "keep_same"), "copies", mark)
+
+
+def print_links(texts: DataFrame, distance: int) -> DataFrame:
+    """Proposed links (a_node, b_node) of ``same`` values: each fingerprint's to the nearest smaller one found, and all of a fingerprint's to the smallest."""
     proposed = None
     for table in range(COPY_TABLES):
-        own = nodes.select("same", F.col("prints")[table].alias("print"))
+        own = texts.select("same", F.col("prints")[table].alias("print"))
         reps = materialize(own.groupBy("print").agg(F.min("same").alias("rep")), "copy-reps")
         side = lambda name: reps.select(F.col("print").alias(name), F.col("rep").alias(f"{name}_node"))  # noqa: E731, B023
-        between = near_links(reps, distance).join(side("a"), "a").join(side("b"), "b").select("a_node", "b_node")
+        links = near_links(reps, distance).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        # Each task of the key comparison keeps a forest of its own: one link a fingerprint is left of them all before any is joined.
+        links = links.groupBy("a").agg(F.min_by("b", F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "b")).alias("b"))
+        between = links.join(side("a"), "a").join(side("b"), "b").select("a_node", "b_node")
         within = own.join(reps, "print").where(F.col("same") != F.col("rep")).select(F.col("same").alias("a_node"), F.col("rep").alias("b_node"))
         found = between.unionByName(within)
         proposed = found if proposed is None else proposed.unionByName(found)
-    links = materialize(proposed.select(F.least("a_node", "b_node").alias("a_node"), F.greatest("a_node", "b_node").alias("b_node")).distinct(), "copy-candidates")
-    ends = links.select(F.col("a_node").alias("same")).union(links.select("b_node")).distinct()
-    texts = docs.select(same_words(whole).alias("same"), whole.alias("whole")).join(ends, "same", "left_semi")
-    texts = materialize(texts.groupBy("same").agg(F.min("whole").alias("whole")), "copy-texts")
-    of = lambda name: texts.select(F.col("same").alias(f"{name}_node"), F.col("whole").alias(name))
-    verified = links.join(of("a"), "a_node").join(of("b"), "b_node").where(similarity(F.col("a"), F.col("b"), shingle) >= least)
-    roots = components(materialize(verified.select("a_node", "b_node"), "copy-links"), "a_node", "b_node")
-    rooted = nodes.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "head", F.coalesce("root", "same").alias("root"))
-    rooted = materialize(rooted, "copy-roots")
-    kept = rooted.groupBy("root").agg(F.min("head").alias("kept"))
-    labels = rooted.join(kept, "root").select("same", F.col("kept.id").alias("keep_id"), F.col("kept.same").alias("keep_same"))
-    return finish(marked.join(labels, "same").select("id", "same", "keep_id", "keep_same"), "copies", mark)
+    return proposed.select(F.greatest("a_node", "b_node").alias("a_node"), F.least("a_node", "b_node").alias("b_node")).distinct()
