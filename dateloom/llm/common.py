@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dateloom.scratch import delete_path, finish, materialize, release, scratch_mark, scratch_path, shared_root  # noqa: F401
+from dateloom.scratch import delete_path, finish, freed_shuffles, materialize, release, scratch_mark, scratch_path, shared_root  # noqa: F401
 
 #: ASCII white space as a character class, for Java's and Python's regular expressions.
 BLANK = r"[\x20\x09-\x0D]"

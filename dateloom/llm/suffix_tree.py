@@ -12,7 +12,8 @@ scored after the longest kept state that is a suffix of what stands before it.
 
 Documents are dealt into chunks of about as many words as one task read, each a few
 files in the shared folder: word numbers, word hashes, document ids. An ``exchange`` then
-gives each word its count and a number of its own, small for frequent words. All states that
+gives each word its count and a number of its own, small for frequent words; with it the hashes
+have served and are deleted, as is each shuffle of learning when its query ends. All states that
 end in one word are one subtree, so each chunk sends its different runs of ``DEPTH`` + 1
 words, with how often it learned them, to the owner of the last word but one; the owner has all it takes to
 count, test and smooth that subtree, and answers with the probability of each run. So the whole tree
@@ -46,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import bound_batches, finish, release, scratch_mark, scratch_path, text_or_empty
+from dateloom.llm.common import bound_batches, delete_path, finish, freed_shuffles, release, scratch_mark, scratch_path, text_or_empty
 from dateloom.llm.files import open_fs
 
 #: Least learning occurrences of a context; discount from each seen next word; least gain of a kept state in nats.
@@ -118,6 +119,11 @@ def load(folder: str, name: str, key: str, dtype: str, columns: int = 1) -> np.n
     return unpack(data, dtype, columns) if data else np.empty((0, columns) if columns > 1 else 0, dtype)
 
 
+def hashes_in(folder: str) -> str:
+    """Where the chunks' word hashes are until the words have their numbers."""
+    return f"{folder}/hashes"
+
+
 def learning(doc_id: Column) -> Column:
     """Documents to learn from: those whose CRC-32 of the id as text does not leave 2 when divided by 7."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(True))
@@ -127,7 +133,7 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
     """Write the chunks of (id, learns, text) rows; returns their names and word counts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = open_fs(folder)
+        fs, path = open_fs(hashes_in(folder))
         fs.create_dir(path, recursive=True)
         numbers: dict[bytes, int] = {}
         tokens: list[np.ndarray] = []
@@ -137,9 +143,9 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
             name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex[:8]}"
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
             every = np.concatenate(tokens)
+            save(hashes_in(folder), name, voc=hashes)
             save(
-                folder, name, tok=every, voc=hashes, ids=np.array(ids, np.int64),
-                use=np.array(learns, np.uint8), len=np.array(lengths, np.int64),
+                folder, name, tok=every, ids=np.array(ids, np.int64), use=np.array(learns, np.uint8), len=np.array(lengths, np.int64)
             )
             numbers.clear()
             for x in (tokens, ids, learns, lengths):
@@ -205,16 +211,14 @@ class Chunk:
 
     def __init__(self, folder: str, name: str, model: Model) -> None:
         self.folder, self.name, self.model = folder, name, model
-        self.tokens, self.hashes = load(folder, name, "tok", "<i4"), load(folder, name, "voc", "<u8")
+        self.tokens = load(folder, name, "tok", "<i4")
         self.lengths = load(folder, name, "len", "<i8")
         self.use = np.repeat(load(folder, name, "use", "u1"), self.lengths).astype(bool)
 
     @cached_property
     def words(self) -> np.ndarray:
         """(learning count, number) of each word of the chunk's vocabulary; the number of unlearned words is 0."""
-        out = np.empty((len(self.hashes), 2), np.int64)
-        out[np.argsort(self.hashes)] = load(self.folder, self.name, "w", "<i8", 2)
-        return out
+        return load(self.folder, self.name, "w", "<i8", 2)
 
     @cached_property
     def at(self) -> np.ndarray:
@@ -362,8 +366,9 @@ Request = tuple[str, np.ndarray, np.ndarray]
 
 
 def ask_words(chunk: Chunk) -> Request:
-    order = np.argsort(chunk.hashes)
-    return "w", chunk.hashes[order], np.bincount(chunk.tokens[chunk.use], minlength=len(chunk.hashes))[order].astype(np.int64)
+    hashes = load(hashes_in(chunk.folder), chunk.name, "voc", "<u8")
+    order = np.argsort(hashes)
+    return "w", hashes[order], np.bincount(chunk.tokens[chunk.use], minlength=len(hashes))[order].astype(np.int64)
 
 
 def ask_next_words(chunk: Chunk) -> Request:
@@ -440,7 +445,11 @@ def exchange(
         for name, rows in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["name"]):
             if name:
                 held = list(rows)
-                save(folder, name, **{held[0]["channel"]: np.concatenate([unpack(r["vals"], "<i8", 2) for r in held])})
+                channel, values = held[0]["channel"], np.concatenate([unpack(r["vals"], "<i8", 2) for r in held])
+                if channel == "w":  # in the order of the chunk's vocabulary
+                    sums, values = values, np.empty_like(values)
+                    values[np.argsort(load(hashes_in(folder), name, "voc", "<u8"))] = sums
+                save(folder, name, **{channel: values})
                 continue
             found = np.stack([np.frombuffer(r["vals"], "<i8") for r in rows])
             yield pa.RecordBatch.from_pydict(dict(zip(TOTALS, ([int(x)] for x in [*found[:, :3].sum(axis=0), found[:, 3].max()]), strict=True)))
@@ -517,6 +526,7 @@ def judge_large(spark: SparkSession, folder: str, chunks: list[tuple[str, int]],
 def learn(spark: SparkSession, folder: str, chunks: list[tuple[str, int]], depth: int, large: int) -> Model:
     """Words and large states; the rest of the tree lives with its owners."""
     model = Model(depth, *exchange(spark, folder, chunks, Model(depth), ask_words))
+    delete_path(spark, hashes_in(folder))
     for _ in range(depth):
         keys = find_large(spark, folder, chunks, model, large)
         if not len(keys):
@@ -624,5 +634,6 @@ def score_documents(
     if not chunks:
         release(spark, mark)
         return spark.createDataFrame([], schema)
-    model = learn(spark, folder, chunks, depth, large)
+    with freed_shuffles(spark):
+        model = learn(spark, folder, chunks, depth, large)
     return finish(score_chunks(spark, folder, chunks, model, schema), "scores", mark)

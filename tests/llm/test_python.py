@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +222,26 @@ def test_model_score_equals_brute_force(spark, monkeypatch, depth, large, chunk)
         assert math.isclose(found[i], score, rel_tol=1e-5), (i, found[i], score)
 
 
+def test_learning_leaves_neither_shuffles_nor_hashes(spark, monkeypatch):
+    """When runs are sent, the disk holds no shuffle of the stages before and no word hashes, and the session's setting is as it was."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shuffles = lambda: {name for name in str(disk.getAllFiles().mkString(" ")).split() if "/shuffle_" in name}
+    before, was, held, score = shuffles(), spark.conf.get(setting), [], suffix_tree.score_chunks
+
+    def watched(session, folder, *rest):
+        till = time.time() + 20  # executors delete in the background
+        while shuffles() - before and time.time() < till:
+            time.sleep(0.1)
+        held.append((shuffles() - before, list(Path(folder.removeprefix("file:")).rglob("*.voc")), spark.conf.get(setting)))
+        return score(session, folder, *rest)
+
+    monkeypatch.setattr(suffix_tree, "score_chunks", watched)
+    monkeypatch.setattr(suffix_tree, "CHUNK_WORDS", 300)
+    assert score_documents(documents(spark, [(i, f"a b w{i % 7} " * 30, "en", "s") for i in range(40)]), large=30).count() == 40
+    assert held == [(set(), [], was)]
+
+
 def test_next_word_distributions_sum_to_one():
     """After kept states of one and of two words the known words and the unknown one have all the probability."""
     learned = np.array([1.0, 6, 5, 0, 0, 9, 0, 0, 0, 0])  # next words 1..4 and the unknown one, after word 1 alone and after words 2, 1
