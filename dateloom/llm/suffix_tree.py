@@ -36,7 +36,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +59,32 @@ CHUNK_WORDS, KEYS_A_PART, RUNS_A_PART = 1_500_000, 2_000_000, 2_000_000
 #: Occurrences beyond which a state has no owner.
 LARGE = 500_000
 NO_ID = -(2**63)
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 END = b"\n"
+SQUEEZE, EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 #: Fixed odd multipliers for scattering numbers.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and how many each text has."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    edges = edges - edges[0]
+    solid = ~BLANKS[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = edges[:-1][edges[:-1] < edges[1:]]
+    begins[inner] = solid[inner]  # texts stand side by side
+    written = np.cumsum(begins)
+    through = np.concatenate([[0], written])[edges]
+    offsets = np.flatnonzero(begins[solid]).astype(np.int64)
+    joined = LOWER[data[solid]]
+    offsets = np.append(offsets, len(joined))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]), np.diff(through)
 
 
 def scatter(x: np.ndarray) -> np.ndarray:
@@ -81,20 +99,47 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
 
+def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of keys, and the number of the key at every place."""
+    order = np.argsort(keys)  # keys that are equal may come in any order, which no result tells
+    put = keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = put[1:] != put[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def joint(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each row of whole numbers, in the order of rows; keys that outgrow 64 bits are numbered anew on the way."""
+    key, bound = np.zeros(len(columns[0]), np.uint64), 1
+    for column in columns:
+        size = int(column.max(initial=0)) + 1
+        if bound * size >= 2**64:
+            first, key = alike(key)
+            key, bound = key.astype(np.uint64), len(first)
+        key = key * np.uint64(size) + column.astype(np.uint64)
+        bound *= size
+    return key
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Bytes of an array, like bytes together, compressed."""
+    """Bytes of an array, like bytes together, compressed; of whole numbers from 0 no more bytes than the greatest needs."""
     if not len(values):
         return b""
-    planes = np.ascontiguousarray(values).reshape(len(values), -1).view(np.uint8).T
-    return zstandard.compress(planes.tobytes(), 1)
+    values = np.ascontiguousarray(values)
+    if values.dtype.kind == "i" and values.min() >= 0:
+        values = values.astype(np.min_scalar_type(values.max()))
+    planes = values.reshape(len(values), -1).view(np.uint8).T
+    return bytes([values.itemsize]) + SQUEEZE.compress(planes.tobytes())
 
 
 def unpack(data: bytes, dtype: str, columns: int = 1) -> np.ndarray:
     if not data:
         return np.empty((0, columns) if columns > 1 else 0, dtype)
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    width = np.dtype(dtype).itemsize * columns
-    out = np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype)
+    width, raw = data[0], np.frombuffer(EXPAND.decompress(memoryview(data)[1:]), np.uint8)
+    held = dtype if width == np.dtype(dtype).itemsize else f"<u{width}"
+    out = np.ascontiguousarray(raw.reshape(width * columns, -1).T).view(held).astype(dtype, copy=False)
     return out[:, 0] if columns == 1 else out
 
 
@@ -137,7 +182,8 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
         fs.create_dir(path, recursive=True)
         numbers: dict[bytes, int] = {}
         tokens: list[np.ndarray] = []
-        ids, learns, lengths = [], [], []
+        lengths: list[np.ndarray] = []
+        ids, learns = [], []
 
         def close() -> pa.RecordBatch:
             name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex[:8]}"
@@ -145,7 +191,7 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
             every = np.concatenate(tokens)
             save(hashes_in(folder), name, voc=hashes)
             save(
-                folder, name, tok=every, ids=np.array(ids, np.int64), use=np.array(learns, np.uint8), len=np.array(lengths, np.int64)
+                folder, name, tok=every, ids=np.array(ids, np.int64), use=np.array(learns, np.uint8), len=np.concatenate(lengths)
             )
             numbers.clear()
             for x in (tokens, ids, learns, lengths):
@@ -156,12 +202,16 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                split = [words_of(t.as_py()) for t in some.column(2)]
-                for w in split:
-                    w.append(END)
-                lengths += map(len, split)
-                size = sum(map(len, split))
-                tokens.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(split)), np.int32, size))
+                words, counts = words_of(some.column(2))
+                coded = words.dictionary_encode()
+                own = np.array([numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()], np.int32)
+                size = len(words) + len(counts)
+                put = np.full(size, numbers.setdefault(END, len(numbers)), np.int32)
+                inner = np.ones(size, bool)
+                inner[np.cumsum(counts + 1) - 1] = False
+                put[inner] = own[coded.indices.to_numpy()]
+                tokens.append(put)
+                lengths.append(counts + 1)
                 ids += some.column(0).fill_null(NO_ID).to_pylist()
                 learns += some.column(1).to_pylist()
                 held += size
@@ -213,6 +263,7 @@ class Chunk:
         self.folder, self.name, self.model = folder, name, model
         self.tokens = load(folder, name, "tok", "<i4")
         self.lengths = load(folder, name, "len", "<i8")
+        self.contexts: list[np.ndarray] = []
         self.use = np.repeat(load(folder, name, "use", "u1"), self.lengths).astype(bool)
 
     @cached_property
@@ -228,28 +279,49 @@ class Chunk:
         at = np.flatnonzero(~first)
         return at[self.words[self.tokens[at - 1], 0] >= LEAST_COUNT]
 
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """The different numbers of the vocabulary, 0 first. A number's rank is its place here."""
+        return np.unique(np.append(self.words[:, 1], 0))
+
+    @cached_property
+    def ranks(self) -> np.ndarray:
+        """The rank of each word's number."""
+        return np.searchsorted(self.numbers, self.words[:, 1])
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """The learning count that goes with each rank."""
+        out = np.zeros(len(self.numbers), np.int64)
+        out[self.ranks] = self.words[:, 0]
+        return out
+
     @cached_property
     def next(self) -> np.ndarray:
-        return self.words[self.tokens[self.at], 1]
+        """Ranks of the words at the places."""
+        return self.ranks[self.tokens[self.at]]
 
     @cached_property
-    def before(self) -> list[np.ndarray]:
-        """Numbers of the words before each place, the nearest first; 0 where the context cannot reach so far."""
-        place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        out = []
-        for d in range(1, self.model.depth + 1):
-            there = place[self.at] >= d
-            word = self.tokens[np.where(there, self.at - d, 0)]
+    def reach(self) -> np.ndarray:
+        """How many words of its text stand before each place."""
+        return self.at - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)[self.at]
+
+    def before(self, d: int) -> np.ndarray:
+        """Ranks of the words ``d`` before each place; 0 where the context cannot reach so far."""
+        while len(self.contexts) < d:
+            back = len(self.contexts) + 1
+            there = self.reach >= back
+            word = self.tokens[np.where(there, self.at - back, 0)]
             there &= self.words[word, 0] >= LEAST_COUNT
-            if out:
-                there &= out[-1] > 0
-            out.append(np.where(there, self.words[word, 1], 0))
-        return out
+            if self.contexts:
+                there &= self.contexts[-1] > 0
+            self.contexts.append(np.where(there, self.ranks[word], 0))
+        return self.contexts[d - 1]
 
     def candidates(self, d: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places whose context of ``d`` words has a large parent (``state`` is its number, -1 for none), and the context's keys."""
-        here = np.flatnonzero((state >= 0) & (self.before[d - 1] > 0))
-        return here, self.model.key(state[here], self.before[d - 1][here])
+        here = np.flatnonzero((state >= 0) & (self.before(d) > 0))
+        return here, self.model.key(state[here], self.numbers[self.before(d)[here]])
 
     def large_at(self, d: int, state: np.ndarray) -> np.ndarray:
         """The number of each place's large state of ``d`` words, or -1."""
@@ -265,7 +337,7 @@ class Chunk:
     def grams(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places after a large state; sorted distinct keys of the state with the next word, and the key's number at each place."""
         here = np.flatnonzero(state >= 0)
-        return here, *distinct(scatter(self.model.key(state[here], self.next[here])))
+        return here, *distinct(scatter(self.model.key(state[here], self.numbers[self.next[here]])))
 
     def descend(self, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Down the large states: each place's state at depth ``upto`` (or -1), the probability of its word so far, and the depth reached."""
@@ -288,24 +360,15 @@ class Chunk:
         """What goes to owners: the places, the run's number at each, and of each run, in the order of owners: a place,
         its owner; then the probability so far and the depth reached of all places."""
         _, p, depth = self.descend(len(self.model.large))
-        words = np.stack(self.before)
+        words = np.stack([self.before(d) for d in range(1, self.model.depth + 1)])
         reach = np.minimum(depth, self.model.depth - 1)
         sent = np.flatnonzero((depth < self.model.depth) & (words[reach, np.arange(len(depth))] > 0))
-        if self.model.numbers < 2**32 - 1 and self.model.depth == 3:  # two keys in place of four
-            keys = [self.model.key(words[2], self.next), self.model.key(words[0], words[1])]
-        else:
-            keys = [self.next, *words[::-1]]
-        keys = [k[sent] for k in keys]
-        order = np.lexsort(keys)
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        place = sent[order[new]]
-        route = words[0][place].astype(np.uint64)
+        first, number = alike(joint([*(w[sent] for w in words), self.next[sent]]))
+        place = sent[first]
+        route = self.numbers[words[0][place]].astype(np.uint64)
         for d in range(1, self.model.depth):
-            route = np.where(depth[place] >= d, scatter(route) ^ words[d][place].astype(np.uint64), route)
-        owner = (scatter(route) >> np.uint64(32)) % np.uint64(owners)
+            route = np.where(depth[place] >= d, scatter(route) ^ self.numbers[words[d][place]].astype(np.uint64), route)
+        owner = ((scatter(route) >> np.uint64(32)) % np.uint64(owners)).astype(np.min_scalar_type(owners))
         by_owner = np.argsort(owner, kind="stable")
         rank = np.empty(len(place), np.int64)
         rank[by_owner] = np.arange(len(place))
@@ -340,26 +403,31 @@ def kept(n: np.ndarray, seen: np.ndarray, once: np.ndarray, gain: np.ndarray) ->
 
 def subtree(words: list[np.ndarray], following: np.ndarray, learned: np.ndarray, p: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The probability of each run, given all runs of the same subtrees: how often each was learned, and what is known down to ``depth``."""
-    p, state = p.astype(float), np.zeros(len(following), np.int64)
-    step = np.uint64(max(int(following.max(initial=0)), *(int(w.max(initial=0)) for w in words)) + 1)
-    inside = np.ones(len(following), bool)
+    order = np.argsort(joint([*words, following]))  # states stand together
+    words, following, learned, depth = [w[order] for w in words], following[order], learned[order], depth[order]
+    p = p[order].astype(float)
+    step = np.uint64(int(following.max(initial=0)) + 1)
+    inside, new = np.ones(len(order), bool), np.zeros(len(order), bool)
     for d, word in enumerate(words, 1):
         inside &= word > 0
-        here = np.flatnonzero(inside)
-        _, state[here] = distinct(state[here].astype(np.uint64) * step + word[here].astype(np.uint64))
-        here = here[depth[here] < d]
+        new[1:] |= word[1:] != word[:-1]
+        here = np.flatnonzero(inside & (depth < d))
         if not len(here):
             continue
-        _, own, of = np.unique(state[here], return_index=True, return_inverse=True)
-        _, first, gram = np.unique(of.astype(np.uint64) * step + following[here].astype(np.uint64), return_index=True, return_inverse=True)
+        state = np.cumsum(new)[here]
+        of = np.cumsum(np.diff(state, prepend=state[0]) != 0)
+        parent, size = p[here], int(of[-1]) + 1
+        first, gram = alike(of.astype(np.uint64) * step + following[here].astype(np.uint64))
         count = np.bincount(gram, weights=learned[here])
-        seen_by_state = count > 0
-        adds = evidence(count[seen_by_state], p[here[first[seen_by_state]]])
-        sums = np.stack([np.bincount(of[first[seen_by_state]], weights=x, minlength=len(own)) for x in adds.T])
+        first = first[count > 0]
+        adds = evidence(count[count > 0], parent[first])
+        sums = np.stack([np.bincount(of[first], weights=x, minlength=size) for x in adds.T])
         keep = kept(*sums)
-        longer = (np.maximum(count[gram] - DISCOUNT, 0) + DISCOUNT * sums[1][of] * p[here]) / np.maximum(sums[0][of], 1)
-        p[here] = np.where(keep[of], longer, p[here])
-    return p
+        longer = (np.maximum(count[gram] - DISCOUNT, 0) + DISCOUNT * sums[1][of] * parent) / np.maximum(sums[0][of], 1)
+        p[here] = np.where(keep[of], longer, parent)
+    out = np.empty(len(order))
+    out[order] = p
+    return out
 
 
 Request = tuple[str, np.ndarray, np.ndarray]
@@ -552,17 +620,16 @@ def score_chunks(spark: SparkSession, folder: str, chunks: list[tuple[str, int]]
         for row in (r for b in batches for r in b.to_pylist()):
             chunk = Chunk(folder, row["name"], model)
             sent, number, place, owner, p, depth = chunk.runs(owners)
-            values = {f"w{d}": chunk.before[d - 1][place] for d in range(1, model.depth + 1)}
-            values |= {"next": chunk.next[place], "depth": depth[place]}
-            counts, p = chunk.words[chunk.tokens[chunk.at[place]], 0], p[place].astype("<f4")
+            values = {f"w{d}": chunk.numbers[chunk.before(d)[place]] for d in range(1, model.depth + 1)}
+            following, p = chunk.next[place], p[place].astype("<f4")
+            values |= {"next": chunk.numbers[following], "depth": depth[place]}
             values["learned"] = np.bincount(number[chunk.use[chunk.at[sent]]], minlength=len(place)).astype(np.int64)
             cut = np.searchsorted(owner, np.arange(owners + 1))
             used = [o for o in range(owners) if cut[o] < cut[o + 1]]
             packed = {x: [pack(v[cut[o] : cut[o + 1]]) for o in used] for x, v in values.items()}
             packed |= {"p": [], "counts": []}
             for of in (slice(cut[o], cut[o + 1]) for o in used):
-                _, first = np.unique(values["next"][of], return_index=True)
-                packed["counts"].append(pack(counts[of][first]))
+                packed["counts"].append(pack(chunk.counts[np.unique(following[of])]))
                 packed["p"].append(pack(p[of][values["depth"][of] > 0]))
             yield pa.RecordBatch.from_pydict(
                 {"owner": pa.array(used, pa.int32()), "chunk": pa.array([row["chunk"]] * len(used), pa.int32())}
@@ -579,7 +646,7 @@ def score_chunks(spark: SparkSession, folder: str, chunks: list[tuple[str, int]]
                 p[found["depth"][i] > 0] = found["p"][i]
                 found["p"][i] = p
             whole = {x: np.concatenate(found.pop(x)) for x in list(found)}
-            p = subtree([whole[w] for w in words], whole["next"], whole["learned"], whole["p"], whole["depth"]).astype("<f4")
+            p = subtree([whole.pop(w) for w in words], *(whole.pop(x) for x in ("next", "learned", "p", "depth"))).astype("<f4")
             yield pa.RecordBatch.from_pydict(
                 {
                     "chunk": pa.array([r["chunk"] for r in group], pa.int32()),
