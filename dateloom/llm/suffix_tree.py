@@ -180,21 +180,22 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(hashes_in(folder))
         fs.create_dir(path, recursive=True)
-        numbers: dict[bytes, int] = {}
-        tokens: list[np.ndarray] = []
+        texts: list[pa.Array] = []
         lengths: list[np.ndarray] = []
         ids, learns = [], []
 
         def close() -> pa.RecordBatch:
             name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex[:8]}"
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-            every = np.concatenate(tokens)
+            coded, counts = pa.concat_arrays(texts).dictionary_encode(), np.concatenate(lengths)
+            vocabulary = [*coded.dictionary.to_pylist(), END]
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
+            every = np.full(int(counts.sum()), len(vocabulary) - 1, np.int32)
+            inner = np.ones(len(every), bool)
+            inner[np.cumsum(counts) - 1] = False
+            every[inner] = coded.indices.to_numpy()
             save(hashes_in(folder), name, voc=hashes)
-            save(
-                folder, name, tok=every, ids=np.array(ids, np.int64), use=np.array(learns, np.uint8), len=np.concatenate(lengths)
-            )
-            numbers.clear()
-            for x in (tokens, ids, learns, lengths):
+            save(folder, name, tok=every, ids=np.array(ids, np.int64), use=np.array(learns, np.uint8), len=counts)
+            for x in (texts, ids, learns, lengths):
                 x.clear()
             return pa.RecordBatch.from_pydict({"name": [name], "words": [len(every)]})
 
@@ -203,18 +204,11 @@ def write_chunks(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 words, counts = words_of(some.column(2))
-                coded = words.dictionary_encode()
-                own = np.array([numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()], np.int32)
-                size = len(words) + len(counts)
-                put = np.full(size, numbers.setdefault(END, len(numbers)), np.int32)
-                inner = np.ones(size, bool)
-                inner[np.cumsum(counts + 1) - 1] = False
-                put[inner] = own[coded.indices.to_numpy()]
-                tokens.append(put)
+                texts.append(words)
                 lengths.append(counts + 1)
                 ids += some.column(0).fill_null(NO_ID).to_pylist()
                 learns += some.column(1).to_pylist()
-                held += size
+                held += len(words) + len(counts)
                 if held >= CHUNK_WORDS:
                     yield close()
                     held = 0
